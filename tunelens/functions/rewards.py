@@ -10,13 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tunelens.functions.common import let
 from tunelens.functions.text import (
     ANSWER_MARK,
     DIGIT_CLASS,
     SPACE_CLASS,
     extract_answer,
     last_part,
-    let,
     marker_parts,
     strip,
     words,

@@ -7,7 +7,6 @@ every class is spelled out here instead of relying on ``\\s``, ``\\d``, ``\\w``.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -33,15 +32,6 @@ WORD_CLASS = r"\p{L}\p{N}_"
 CLOSED_SENTENCE = rf"\A[A-Z][{WORD_CLASS}{SPACE_CLASS}]+[?.!]\z"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``.
-
-    Projection collapsing copies an expression into a lambda that names it and
-    then evaluates it per element; a lambda variable is bound once and stays so.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(SPACES))
 

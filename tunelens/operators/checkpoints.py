@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelens.functions.text import let
+from tunelens.functions.common import int_div, let
 from tunelens.functions.vectors import (
     UPDATE_THRESHOLD,
     count_nan,
@@ -103,7 +103,7 @@ def update_overlap(delta: DataFrame, tuned: Sequence[str], threshold: float = UP
                     lambda b: F.struct(
                         a["ord"].alias("a"),
                         b["ord"].alias("b"),
-                        F.size(F.array_intersect(a["at"], b["at"])).cast("long").alias("both"),
+                        F.size(F.array_intersect(a["at"], b["at"])).cast("long").alias("in_both"),
                         (F.size(a["at"]) + F.size(b["at"])).cast("long").alias("sizes"),
                     ),
                 ),
@@ -113,20 +113,20 @@ def update_overlap(delta: DataFrame, tuned: Sequence[str], threshold: float = UP
     counted = (
         per_row.select(F.explode(let(F.col("updates"), pairs)).alias("p"))
         .groupBy("p.a", "p.b")
-        .agg(F.sum("p.both").alias("both"), F.sum("p.sizes").alias("sizes"))
+        .agg(F.sum("p.in_both").alias("in_both"), F.sum("p.sizes").alias("sizes"))
     )
     # One row per pair of named models, so a pair with nothing in common shows as 0.
     listed = spark.createDataFrame(
         [(i + 1, j + 1, tuned[i], tuned[j]) for i, j in combinations(range(len(tuned)), 2)],
         "a long, b long, model_a string, model_b string",
     )
-    both = F.coalesce(F.col("both"), F.lit(0))
+    both = F.coalesce(F.col("in_both"), F.lit(0))
     either = F.coalesce(F.col("sizes"), F.lit(0)) - both
     return listed.join(counted, ["a", "b"], "left").select(
         "model_a",
         "model_b",
-        both.alias("both"),
-        either.alias("either"),
+        both.alias("in_both"),
+        either.alias("in_either"),
         F.when(either > 0, both / either).otherwise(0.0).alias("overlap"),
     )
 
@@ -205,11 +205,11 @@ def delta_rank(
     flat = chosen.filter(F.size(shape) == 2).withColumn("rows", shape[0]).withColumn("cols", shape[1])
     short = F.least("rows", "cols").cast("long")
     # How many factors one block stacks: two at least, or stacking would not shrink.
-    fan = F.greatest(F.lit(2), F.floor(F.lit(block_cells) / (short * short))).cast("long")
+    fan = F.greatest(F.lit(2).cast("long"), int_div(F.lit(block_cells), short * short))
     height = fan * short
     tall = flat.filter(F.col("cols") <= F.col("rows")).select(
         "model", "tensor", "rows", "cols",
-        F.floor(F.col("row_idx") / height).alias("block"),
+        int_div(F.col("row_idx"), height).alias("block"),
         F.col("row_idx").alias("at"),
         F.col("delta").cast("array<double>").alias("values"),
     )
@@ -219,7 +219,7 @@ def delta_rank(
         "model", "tensor", "rows", "cols", "row_idx", "delta", F.explode(starts).alias("start")
     ).select(
         "model", "tensor", "rows", "cols",
-        F.floor(F.col("start") / height).alias("block"),
+        int_div(F.col("start"), height).alias("block"),
         F.col("row_idx").alias("at"),
         F.slice(
             F.col("delta").cast("array<double>"),
@@ -234,7 +234,7 @@ def delta_rank(
     for _ in range(int(depth) - 1):
         pieces = (
             pieces.withColumn("at", F.col("block") % fan * short + F.col("at"))
-            .withColumn("block", F.floor(F.col("block") / fan))
+            .withColumn("block", int_div(F.col("block"), fan))
             .groupBy(*_BLOCK)
             .applyInArrow(_next_factor, _PIECES)
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunelens.functions.common import int_div
 from tunelens.functions.text import answer_index, normalise_sentence, strip_option
 
 # The layout of a raw record.
@@ -20,7 +21,7 @@ def group_records(lines: DataFrame, size: int = LINES_PER_RECORD) -> DataFrame:
     task already, so the partial aggregate folds them before the shuffle.
     """
     slot = (F.col("line_no") % size).cast("int")
-    grouped = lines.groupBy("file", F.floor(F.col("line_no") / size).alias("record")).agg(
+    grouped = lines.groupBy("file", int_div(F.col("line_no"), size).alias("record")).agg(
         F.collect_list(F.struct(slot.alias("slot"), F.col("value").alias("value"))).alias("rows")
     )
     complete = grouped.filter(F.size("rows") == size)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunelens.functions.common import int_div
 from tunelens.operators.ordering import hash_key, hash_position, hash_threshold, with_position
 
 # Fixed value: the seed of the logged runs.
@@ -65,7 +66,7 @@ def shuffle_epoch(
 
 def assign_batches(df: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     """Batch number and place in the batch; the last batch may be short."""
-    return df.withColumn("batch", F.floor(F.col(pos) / size)).withColumn("slot", F.col(pos) % size)
+    return df.withColumn("batch", int_div(F.col(pos), size)).withColumn("slot", F.col(pos) % size)
 
 
 def expand_samples(df: DataFrame, n: int) -> DataFrame:
@@ -82,8 +83,8 @@ def step_plan(
 ) -> DataFrame:
     """One row: iterations per epoch, updates per iteration, iterations in all."""
     rows = df.agg(F.count("*").alias("rows"))
-    per_epoch = F.floor(F.col("rows") * n_samples_per_prompt / rollout_batch_size)
-    updates = F.floor(F.lit(rollout_batch_size) * n_samples_per_prompt / train_batch_size)
+    per_epoch = int_div(F.col("rows") * n_samples_per_prompt, rollout_batch_size)
+    updates = int_div(F.lit(rollout_batch_size * n_samples_per_prompt), train_batch_size)
     return rows.select(
         "rows",
         per_epoch.alias("iterations_per_epoch"),

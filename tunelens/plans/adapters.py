@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunelens.functions.common import int_div
 from tunelens.functions.messages import message
 from tunelens.functions.text import option_letter
 from tunelens.operators.ordering import with_position
@@ -50,11 +51,11 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select(
         conv.alias("prompt_id"),
         turn.alias("sample_id"),
-        F.floor(conv / 8).alias("step"),
+        int_div(conv, 8).alias("step"),
         F.when(conv % 2 == 0, "validation").otherwise("test").alias("split"),
         F.concat(F.lit("m"), (turn % 3).cast("string")).alias("model"),
         _suffixed(text, (conv * 3 + turn) % 8).alias("response"),
-        ((F.floor(conv / 2) + turn) % 4 + 1).alias("correct_option"),
+        ((int_div(conv, 2) + turn) % 4 + 1).alias("correct_option"),
         F.least(F.length(text), F.lit(TOKEN_LIMIT)).cast("long").alias("n_tokens"),
         (conv % 50 + 10).alias("prompt_tokens"),
         ((conv + turn) % 5 != 0).alias("finished"),
@@ -88,7 +89,7 @@ def samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
         F.concat(F.lit("Context "), conv.cast("string")).alias("context"),
         F.col("text").alias("query"),
         F.array(*options).alias("options"),
-        ((F.floor(conv / 2) + turn) % 4).cast("int").alias("correct_option"),
+        ((int_div(conv, 2) + turn) % 4).cast("int").alias("correct_option"),
     )
     return with_position(rows, ["prompt_id", "sample_id"], "idx", within=["split"]) if dense else rows
 
@@ -216,7 +217,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.col("vec_id")
     return student.join(teacher, "vec_id").select(
         "vec_id",
-        F.floor(vec / 10).alias("seq_id"),
+        int_div(vec, 10).alias("seq_id"),
         (vec % 10).cast("int").alias("pos"),
         (vec % 10 >= 3).alias("loss_mask"),
         "student_logits",
@@ -302,7 +303,7 @@ def sampled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.col("vec_id")
     token = (vec * 7 % VOCAB).cast("int")
     return logits(spark, sf_dir).select(
-        F.floor(F.col("seq_id") / 4).alias("step"),
+        int_div(F.col("seq_id"), 4).alias("step"),
         (F.col("seq_id") % 4).alias("worker"),
         "seq_id",
         "pos",
@@ -323,7 +324,7 @@ tokens AS (
 
 def grads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
-        F.floor(F.col("event_id") / 1000).alias("step"),
+        int_div(F.col("event_id"), 1000).alias("step"),
         F.col("event_type").alias("name"),
         (F.col("value") * 1e-7).alias("grad"),
     )

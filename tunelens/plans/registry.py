@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tunelens.plans import evaluation_queries
+from tunelens.plans import evaluation_queries, model_queries, prompt_queries
 
-_MODULES = (evaluation_queries,)
+_MODULES = (prompt_queries, evaluation_queries, model_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
