@@ -15,6 +15,7 @@ from tunelens.functions.text import (
     ANSWER_MARK,
     DIGIT_CLASS,
     SPACE_CLASS,
+    UNICODE,
     extract_answer,
     last_part,
     marker_parts,
@@ -29,7 +30,7 @@ CORRECT_SCORE = 2.0
 FORMAT_EXACT, FORMAT_MARKED = 1.0, 0.3
 VALID_OPTIONS = ("1", "2", "3", "4")
 INTEGER_VALID, INTEGER_OTHER = 0.5, 0.1
-SENTENCE_BREAKS = r"[.!?\n]"
+SENTENCE_BREAKS = r".!?\n"
 SENTENCE_MIN_CHARS = 10
 SENTENCE_SCORES = ((5, 0.5), (3, 0.3), (1, 0.1))
 TRAILING_DIGIT_BONUS, TRAILING_TEXT_PENALTY, TRAILING_MAX_CHARS = 0.25, 0.1, 10
@@ -38,6 +39,13 @@ REPETITION_MIN_WORDS = 10
 REPETITION_SCORES = ((0.7, 0.5), (0.4, 0.2))
 REPETITION_PENALTY = -0.5
 
+# A stretch between breaks that, without outer spaces, is longer than the
+# minimum: from its first visible character greedily to its last. Counting
+# matches gives the number of such stretches without cutting the text up.
+LONG_SENTENCE = (
+    rf"{UNICODE}[^{SENTENCE_BREAKS}{SPACE_CLASS}][^{SENTENCE_BREAKS}]{{{SENTENCE_MIN_CHARS},}}(?<![{SPACE_CLASS}])"
+)
+
 
 def _present(response: Column, score: Column) -> Column:
     return F.when(response.isNotNull(), score)
@@ -50,7 +58,7 @@ def correctness(response: Column, key: Column) -> Column:
 
 
 def format_reward(response: Column, key: Column | None = None) -> Column:
-    exact = F.rlike(strip(response), F.lit(rf"{ANSWER_MARK}[{SPACE_CLASS}]*{DIGIT_CLASS}\z"))
+    exact = F.rlike(strip(response), F.lit(rf"{UNICODE}{ANSWER_MARK}[{SPACE_CLASS}]*{DIGIT_CLASS}\z"))
     score = (
         F.when(exact, F.lit(FORMAT_EXACT))
         .when(F.contains(response, F.lit(ANSWER_MARK)), FORMAT_MARKED)
@@ -70,21 +78,21 @@ def int_answer(response: Column, key: Column | None = None) -> Column:
 
 
 def _tiered(value: Column, tiers, default: float, exclusive: bool = False) -> Column:
-    column = None
-    for bound, score in tiers:
-        test = value > bound if exclusive else value >= bound
-        column = F.when(test, F.lit(score)) if column is None else column.when(test, score)
-    return column.otherwise(default)
+    """Score of the first bound that ``value`` reaches (passes, when exclusive)."""
+
+    def graded(bound_value: Column) -> Column:
+        column = None
+        for bound, score in tiers:
+            test = bound_value > bound if exclusive else bound_value >= bound
+            column = F.when(test, F.lit(score)) if column is None else column.when(test, score)
+        return column.otherwise(default)
+
+    return let(value, graded)
 
 
 def reasoning_quality(response: Column, key: Column | None = None) -> Column:
     reasoning = strip(F.element_at(marker_parts(response), 1))
-    sentences = F.size(
-        F.filter(
-            F.split(reasoning, SENTENCE_BREAKS),
-            lambda piece: F.length(strip(piece)) > SENTENCE_MIN_CHARS,
-        )
-    )
+    sentences = F.regexp_count(reasoning, F.lit(LONG_SENTENCE))
     trailing = last_part(response)
     adjustment = (
         F.when(~F.contains(response, F.lit(ANSWER_MARK)), F.lit(0.0))
@@ -99,33 +107,42 @@ def reasoning_quality(response: Column, key: Column | None = None) -> Column:
     return _present(response, score)
 
 
+def _distinct_share(tokens: Column, key: Callable[..., Column]) -> Column:
+    """Distinct keys over all trigrams; ``tokens`` has to be a bound variable."""
+    count = F.size(tokens) - 2
+    keys = F.transform(
+        F.slice(tokens, F.lit(1), count),
+        lambda word, i: key(word, F.get(tokens, i + 1), F.get(tokens, i + 2)),
+    )
+    return F.size(F.array_distinct(keys)) / count
+
+
 def trigram_uniqueness(tokens: Column) -> Column:
     """Distinct share of word trigrams.
 
-    Words hold no space, so joining three by a space is a collision-free key,
-    and distinct over strings hashes where distinct over structs compares pairs.
+    Words hold no space, so three joined by a space are a collision-free key, and
+    distinct over strings hashes where distinct over structs compares pairs.
     """
-    count = F.size(tokens) - 2
-    pairs = F.zip_with(
-        F.slice(tokens, F.lit(1), count),
-        F.slice(tokens, F.lit(2), count),
-        lambda first, second: F.concat_ws(" ", first, second),
-    )
-    trigrams = F.zip_with(
-        pairs,
-        F.slice(tokens, F.lit(3), count),
-        lambda pair, third: F.concat_ws(" ", pair, third),
-    )
-    return F.size(F.array_distinct(trigrams)) / count
+    return _distinct_share(tokens, lambda a, b, c: F.concat(a, F.lit(" "), b, F.lit(" "), c))
+
+
+def trigram_uniqueness_floor(tokens: Column) -> Column:
+    """The same over 64-bit hashes: cheaper, and never above the true share."""
+    return _distinct_share(tokens, F.xxhash64)
 
 
 def no_repetition(response: Column, key: Column | None = None) -> Column:
+    """Hash collisions can only lower a share, so a hashed share past the top
+    bound settles the score; only repetitive texts need the exact keys."""
+    top_bound, top_score = REPETITION_SCORES[0]
+
     def score(tokens: Column) -> Column:
-        graded = let(
-            trigram_uniqueness(tokens),
-            lambda share: _tiered(share, REPETITION_SCORES, REPETITION_PENALTY, exclusive=True),
+        exact = _tiered(trigram_uniqueness(tokens), REPETITION_SCORES, REPETITION_PENALTY, exclusive=True)
+        return (
+            F.when(F.size(tokens) < REPETITION_MIN_WORDS, F.lit(0.0))
+            .when(trigram_uniqueness_floor(tokens) > top_bound, top_score)
+            .otherwise(exact)
         )
-        return F.when(F.size(tokens) < REPETITION_MIN_WORDS, F.lit(0.0)).otherwise(graded)
 
     return _present(response, let(words(response), score))
 

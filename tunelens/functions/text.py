@@ -1,7 +1,7 @@
 """Text expressions that keep Python's Unicode rules while running in the JVM.
 
 Java and Python disagree on what a space, a digit or a word character is, so
-every class is spelled out here instead of relying on ``\\s``, ``\\d``, ``\\w``.
+every class is spelled out here instead of relying on bare ``\\s``, ``\\d``, ``\\w``.
 """
 
 from __future__ import annotations
@@ -20,16 +20,17 @@ OPTION_LETTERS = ("A", "B", "C", "D")
 OPTION_PREFIX_LENGTH = 3
 
 # What str.strip and str.split treat as white space, as characters and as a
-# regex class body.
+# regex class body (under the UNICODE flag).
 SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CLASS = r"\s\x1c-\x1f"
+UNICODE = "(?U)"  # makes Java's \s follow the Unicode White_Space property
 DIGIT_CLASS = r"\p{Nd}"
 WORD_CLASS = r"\p{L}\p{N}_"
-CLOSED_SENTENCE = rf"\A[A-Z][{WORD_CLASS}{SPACE_CLASS}]+[?.!]\z"
+CLOSED_SENTENCE = rf"{UNICODE}\A[A-Z][{WORD_CLASS}{SPACE_CLASS}]+[?.!]\z"
 
 
 def strip(text: Column) -> Column:
@@ -42,12 +43,12 @@ def rstrip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words; blank text gives one empty word."""
-    return F.split(strip(text), f"[{SPACE_CLASS}]+")
+    return F.split(strip(text), f"{UNICODE}[{SPACE_CLASS}]+")
 
 
 def word_count(text: Column) -> Column:
     stripped = strip(text)
-    return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, f"[{SPACE_CLASS}]+")))
+    return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, f"{UNICODE}[{SPACE_CLASS}]+")))
 
 
 @cache
@@ -64,13 +65,13 @@ def ascii_digits(text: Column) -> Column:
 
 @cache
 def _numeric_class() -> str:
-    """Regex class body for str.isnumeric: number categories plus numeric letters."""
-    letters = [
-        c
-        for c in map(chr, range(0x80, 0x110000))
-        if c.isnumeric() and not unicodedata.category(c).startswith("N")
-    ]
-    return r"\p{N}" + "".join(letters)
+    """Regex class for str.isnumeric: number categories plus numeric ideographs.
+
+    The intersection asks for the category first, so that most characters never
+    reach the long list.
+    """
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and unicodedata.category(c) == "Lo"]
+    return r"[\p{N}[\p{Lo}&&[" + "".join(letters) + "]]]"
 
 
 def marker_parts(text: Column, marker: str = ANSWER_MARK) -> Column:
@@ -84,8 +85,8 @@ def last_part(text: Column, marker: str = ANSWER_MARK) -> Column:
 
 def extract_answer(text: Column, marker: str = ANSWER_MARK) -> Column:
     """Leading digits after the last marker; null without marker or digits."""
-    digits = F.regexp_extract(last_part(text, marker), rf"^({DIGIT_CLASS}+)", 1)
-    return F.when(F.contains(text, F.lit(marker)), F.nullif(digits, F.lit("")))
+    digits = F.regexp_extract_all(last_part(text, marker), F.lit(rf"^({DIGIT_CLASS}+)"), F.lit(1))
+    return F.when(F.contains(text, F.lit(marker)), F.get(digits, F.lit(0)))
 
 
 def same_number(digits: Column, number: Column) -> Column:
@@ -99,7 +100,7 @@ def normalise_sentence(text: Column) -> Column:
     Runs of full stops become one break: ``.`` before a numeric character,
     ``. `` otherwise; possessive quantifiers keep the two passes apart.
     """
-    numeric = f"[{_numeric_class()}]"
+    numeric = _numeric_class()
     pieces = F.trim(F.replace(text, F.lit("\n"), F.lit("")), F.lit("."))
     spaced = F.regexp_replace(pieces, rf"\.++(?!{numeric})", ". ")
     joined = F.regexp_replace(spaced, rf"\.++(?={numeric})", ".")
