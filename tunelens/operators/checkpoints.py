@@ -207,30 +207,24 @@ def delta_rank(
     # How many factors one block stacks: two at least, or stacking would not shrink.
     fan = F.greatest(F.lit(2).cast("long"), int_div(F.lit(block_cells), short * short))
     height = fan * short
-    tall = flat.filter(F.col("cols") <= F.col("rows")).select(
-        "model", "tensor", "rows", "cols",
-        int_div(F.col("row_idx"), height).alias("block"),
-        F.col("row_idx").alias("at"),
-        F.col("delta").cast("array<double>").alias("values"),
+    # Tall matrices are cut by rows. Wide ones are cut by columns, and the task
+    # transposes their pieces.
+    is_wide = F.col("cols") > F.col("rows")
+    row_start, col_start = F.col("row_idx"), F.col("start")
+    starts = F.when(is_wide, F.sequence(F.lit(0).cast("long"), F.col("cols").cast("long") - 1, height)).otherwise(
+        F.array(F.lit(0).cast("long"))
     )
-    # A wide matrix is cut by columns and its pieces are transposed in the task.
-    starts = F.sequence(F.lit(0).cast("long"), F.col("cols").cast("long") - 1, height)
-    wide = flat.filter(F.col("cols") > F.col("rows")).select(
-        "model", "tensor", "rows", "cols", "row_idx", "delta", F.explode(starts).alias("start")
-    ).select(
+    piece = F.slice("delta", (col_start + 1).cast("int"), F.least(height, F.col("cols").cast("long")).cast("int"))
+    cut = flat.select("model", "tensor", "rows", "cols", "row_idx", "delta", F.explode(starts).alias("start")).select(
         "model", "tensor", "rows", "cols",
-        int_div(F.col("start"), height).alias("block"),
-        F.col("row_idx").alias("at"),
-        F.slice(
-            F.col("delta").cast("array<double>"),
-            (F.col("start") + 1).cast("int"),
-            F.least(height, F.col("cols").cast("long")).cast("int"),
-        ).alias("values"),
+        int_div(F.when(is_wide, col_start).otherwise(row_start), height).alias("block"),
+        row_start.alias("at"),
+        F.when(is_wide, piece).otherwise(F.col("delta")).cast("array<double>").alias("values"),
     )
     # Tree depth from shapes alone: one row per tensor reaches this aggregate.
     blocks = F.ceil(F.greatest("rows", "cols") / height)
     depth = flat.filter(F.col("row_idx") == 0).agg(F.max(F.ceil(F.log(blocks) / F.log(fan)))).first()[0] or 0
-    pieces = tall.unionByName(wide).groupBy(*_BLOCK).applyInArrow(_first_factor, _PIECES)
+    pieces = cut.groupBy(*_BLOCK).applyInArrow(_first_factor, _PIECES)
     for _ in range(int(depth) - 1):
         pieces = (
             pieces.withColumn("at", F.col("block") % fan * short + F.col("at"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunelens.session import broadcast_if_small, checkpoint
+from tunelens.session import broadcast_if_small, materialise
 
 # Hash keys keep 60 bits, so they stay positive and fit a long.
 KEY_HEX_DIGITS = 15
@@ -71,14 +71,20 @@ def with_position(
     order_by: Sequence[str],
     name: str = "pos",
     within: Sequence[str] = (),
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """0-based place of every row in sort order, restarting for each ``within`` value.
 
     One range sort splits even a group that holds most rows; the sorted rows are
     written once, because a second sort may pick other range bounds. Places then
     come from rows per (group, partition), never from a window over a group.
+    Where ``key`` names a row, only key and order columns are sorted and written
+    and the place is joined back to the wide rows.
     """
-    ordered = checkpoint(
+    if key:
+        narrow = df.select(*dict.fromkeys([*within, *order_by, *key]))
+        return df.join(with_position(narrow, order_by, name, within).select(*key, name), list(key))
+    ordered = materialise(
         df.orderBy(*within, *order_by).select(
             "*",
             F.spark_partition_id().alias("__part"),

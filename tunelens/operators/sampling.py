@@ -37,15 +37,22 @@ def cap_total(df: DataFrame, n: int, splits: Sequence[str], idx: str = "idx") ->
     )
 
 
-def first_n(df: DataFrame, n: int, pos: str | None = None, order_by: Sequence[str] = ()) -> DataFrame:
+def first_n(
+    df: DataFrame,
+    n: int,
+    pos: str | None = None,
+    order_by: Sequence[str] = (),
+    key: Sequence[str] = (),
+) -> DataFrame:
     """The first ``n`` rows.
 
     With a dense position this is a filter that reaches the scan. Otherwise rows
-    are placed first; unlike a sorted limit, no task has to hold ``n`` rows.
+    are placed first (by ``key`` alone where it names a row); unlike a sorted
+    limit, no task has to hold ``n`` rows.
     """
     if pos is not None:
         return df.filter(F.col(pos) < n)
-    return with_position(df, order_by, name="__pos").filter(F.col("__pos") < n).drop("__pos")
+    return with_position(df, order_by, name="__pos", key=key).filter(F.col("__pos") < n).drop("__pos")
 
 
 def shuffle_epoch(

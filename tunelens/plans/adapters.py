@@ -91,7 +91,9 @@ def samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
         F.array(*options).alias("options"),
         ((int_div(conv, 2) + turn) % 4).cast("int").alias("correct_option"),
     )
-    return with_position(rows, ["prompt_id", "sample_id"], "idx", within=["split"]) if dense else rows
+    if not dense:
+        return rows
+    return with_position(rows, ["prompt_id", "sample_id"], "idx", within=["split"], key=SAMPLE_KEYS)
 
 
 SAMPLES_SQL = """samples AS (
@@ -263,7 +265,7 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(label % 2 == 0, F.concat(F.lit("layers."), label.cast("string"), F.lit(".mlp.down_proj.weight")))
         .otherwise(F.concat(F.lit("layers."), label.cast("string"), F.lit(".self_attn.v_proj.weight")))
     )
-    rows = with_position(table(spark, sf_dir, "embeddings"), ["vec_id"], "row_idx", within=["label"])
+    rows = with_position(table(spark, sf_dir, "embeddings"), ["vec_id"], "row_idx", within=["label"], key=["vec_id"])
     sizes = broadcast_if_small(rows.groupBy("label").agg(F.count("*").cast("int").alias("n_rows")))
 
     def value(x: Column, i: Column) -> Column:

@@ -11,7 +11,7 @@ from tunelens.operators.evaluation import align, audit_rows, classify, compare_m
 from tunelens.operators.reward_table import advantage, debug_first, total_reward, with_rewards
 from tunelens.operators.rollups import length_rollup, phase_rollup, reward_rollup, sampling_rollup
 from tunelens.plans import adapters as a
-from tunelens.session import checkpoint
+from tunelens.session import materialise
 
 KEYS = a.SAMPLE_KEYS
 
@@ -122,12 +122,12 @@ def q_debug_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Written once and narrow: the statistics and the rows both need the rewards,
     # and grading the texts twice would cost far more.
-    graded = checkpoint(_graded(a.completions(spark, sf_dir)).select("prompt_id", "sample_id", "reward"))
+    graded = materialise(_graded(a.completions(spark, sf_dir)).select("prompt_id", "sample_id", "reward"))
     return advantage(graded).select("prompt_id", "sample_id", rounded("reward"), rounded("advantage", 5))
 
 
 def q_reward_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = checkpoint(_graded(a.completions(spark, sf_dir)).select("step", "prompt_id", *REWARDS, "reward"))
+    graded = materialise(_graded(a.completions(spark, sf_dir)).select("step", "prompt_id", *REWARDS, "reward"))
     return reward_rollup(graded).select("step", "metric", rounded("value"))
 
 

@@ -229,7 +229,7 @@ def q_cap_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = a.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return first_n(docs, CAP, order_by=["n_chars", "doc_id"])
+    return first_n(docs, CAP, order_by=["n_chars", "doc_id"], key=["doc_id"])
 
 
 def q_shuffle_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:

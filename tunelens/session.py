@@ -34,18 +34,22 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder, so every later use reads the same rows."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder, so every later use reads the same rows.
+
+    A Parquet table rather than an RDD checkpoint: it survives lost executors as
+    well, later reads touch only the columns they use, and its size is known to
+    the join planner.
+    """
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger side stays a shuffled join.
 
-    Meant for narrow summaries of checkpointed data, where the count is cheap.
+    Meant for narrow summaries of materialised data, where the count is cheap.
     """
     if df.limit(max_rows + 1).count() > max_rows:
         return df

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tunelens.session import broadcast_if_small, materialise
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value) of newline-terminated lines; a carriage return stays.
 
-    Files are read in splits, so one huge file still spreads over the cluster. A
-    line's number is its rank inside its split (a split is one bounded block of
-    one file) plus the lines of the file's earlier splits, which come from a
-    count that only ever moves one row per split.
+    Files are read in splits, so one huge file still spreads over the cluster, and
+    no text is shuffled: a first read leaves one row per split (its lines, its
+    first row id), and a line's number is the lines of its file's earlier splits
+    plus its row id's distance from the split's first.
     """
     lines = (
         spark.read.option("lineSep", "\n")
@@ -24,12 +26,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("__row"),
         )
     )
-    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("__size"))
+    splits = materialise(
+        lines.groupBy("file", "block").agg(F.count("*").alias("__size"), F.min("__row").alias("__first"))
+    )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
-    within = Window.partitionBy("file", "block").orderBy("__row")
-    ranked = lines.withColumn("__rank", F.row_number().over(within) - 1)
-    # Both reads plan the same splits; if a cluster resize moved them, fail rather than misnumber.
+    starts = splits.withColumn("__start", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+    # Both reads plan the same splits. Had a resized cluster planned others, row ids
+    # would shift and leave some split's range: fail then, rather than misnumber.
+    place = F.col("__row") - F.col("__first")
     moved = F.raise_error(F.lit("file splits moved between reads; set spark.sql.files.minPartitionNum"))
-    number = F.when(F.col("__rank") < F.col("__size"), F.col("__start") + F.col("__rank")).otherwise(moved.cast("long"))
-    return ranked.join(starts, ["file", "block"], "left").select("file", number.alias("line_no"), "value")
+    number = F.when((place >= 0) & (place < F.col("__size")), F.col("__start") + place).otherwise(moved.cast("long"))
+    return lines.join(broadcast_if_small(starts), ["file", "block"], "left").select(
+        "file", number.alias("line_no"), "value"
+    )
