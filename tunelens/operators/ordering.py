@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 
 from tunelens.session import broadcast_if_small, materialise
 
-# Hash keys keep 60 bits, so they stay positive and fit a long.
-KEY_HEX_DIGITS = 15
-KEY_BITS = 4 * KEY_HEX_DIGITS
-# At most 2**16 buckets: the bucket table always fits a broadcast (about 2 MB).
-BUCKET_BITS = 16
+# Fixed width: a key is 15 hexadecimal digits, its bucket the first four. So there
+# are at most 16**4 buckets, and their table (about 2 MB) always fits a broadcast.
+KEY_DIGITS = 15
+BUCKET_DIGITS = 4
 
 
 def hash_key(seed: int, *parts: Column) -> Column:
-    """Uniform 60-bit key from a seed and the parts that name a row."""
+    """Uniform key, as sortable hexadecimal text, from a seed and what names a row."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, KEY_HEX_DIGITS), 16, 10).cast("long")
+    return F.substring(F.md5(text), 1, KEY_DIGITS)
 
 
-def hash_threshold(probability: float) -> int:
-    """Keys below this make up ``probability`` of all keys."""
-    return int(probability * (1 << KEY_BITS))
+def hash_share(key: Column, probability: float) -> Column:
+    """Whether a key is among the first ``probability`` of all keys."""
+    if probability >= 1:
+        return F.lit(True)
+    bound = int(probability * 16**KEY_DIGITS)
+    return key < f"{bound:0{KEY_DIGITS}x}"
 
 
 def hash_position(
@@ -33,28 +35,25 @@ def hash_position(
     ties: Sequence[str],
     name: str = "pos",
     below: int | None = None,
-    bits: int = BUCKET_BITS,
     total: str | None = None,
 ) -> DataFrame:
-    """0-based place of every row in hash order; rows need unique ``ties``.
+    """0-based place of every row in key order; rows need unique ``ties``.
 
-    The top bits of a uniform key are a balanced, ordered bucket, so a place is
-    rows in earlier buckets plus rank in the bucket. Counting is one narrow
+    The first digits of a uniform key are a balanced, ordered bucket, so a place
+    is rows in earlier buckets plus rank in the bucket. Counting is one narrow
     pre-aggregated scan; only rows that can still be ``below`` a cap shuffle.
     """
-    bucket = F.shiftright(key, KEY_BITS - bits)
-    counts = df.groupBy(bucket.alias("__bucket")).agg(F.count("*").alias("__rows"))
+    keyed = df.withColumn("__key", key)
+    bucket = F.substring("__key", 1, BUCKET_DIGITS)
+    counts = keyed.groupBy(bucket.alias("__bucket")).agg(F.count("*").alias("__rows"))
     every = Window.orderBy("__bucket")
     starts = counts.select(
         "__bucket",
         (F.sum("__rows").over(every.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__rows")).alias("__start"),
         F.sum("__rows").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
     )
-    placed = (
-        df.withColumn("__key", key)
-        .withColumn("__bucket", F.shiftright("__key", KEY_BITS - bits))
-        .join(F.broadcast(starts), "__bucket")  # at most 2**bits rows
-    )
+    # The broadcast side has one row per bucket.
+    placed = keyed.withColumn("__bucket", bucket).join(F.broadcast(starts), "__bucket")
     if below is not None:
         placed = placed.filter(F.col("__start") < below)
     inside = Window.partitionBy("__bucket").orderBy("__key", *ties)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunelens.functions.common import int_div
-from tunelens.operators.ordering import hash_key, hash_position, hash_threshold, with_position
+from tunelens.operators.ordering import hash_key, hash_position, hash_share, with_position
 
 # Fixed value: the seed of the logged runs.
 SHUFFLE_SEED = 42
@@ -119,7 +119,7 @@ def blend(
     kept = []
     for ordinal, (source, probability) in enumerate(sources):
         if probability is not None:
-            source = source.filter(key(F.lit(ordinal)) < hash_threshold(probability))
+            source = source.filter(hash_share(key(F.lit(ordinal)), probability))
         kept.append(source.withColumn("source_ord", F.lit(ordinal)))
     blended = reduce(lambda left, right: left.unionByName(right), kept)
     if cap is None:

@@ -299,7 +299,7 @@ _LIST = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"  # noqa: E73
 
 def key_sql(seed: int, *parts: str) -> str:
     text = " || ':' || ".join([f"'{seed}'", *[f"CAST({p} AS VARCHAR)" for p in parts]])
-    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+    return f"substr(md5({text}), 1, 15)"
 
 
 def word_count_sql(text: str) -> str:
@@ -398,7 +398,7 @@ FROM placed GROUP BY pos // {BATCH}""",
   CAST(ceil(2.5 * (rows * 4 // 64)) AS BIGINT) AS iterations FROM (SELECT count(*) AS rows FROM documents)""",
     "blend_sources": f"""WITH kept AS (
   SELECT doc_id, lang, n_chars, 0 AS source_ord FROM documents
-  WHERE lang = 'en' AND {key_sql(SEED, '0', 'doc_id')} < {(1 << 60) // 2}
+  WHERE lang = 'en' AND {key_sql(SEED, '0', 'doc_id')} < '800000000000000'
   UNION ALL SELECT doc_id, lang, n_chars, 1 AS source_ord FROM documents WHERE lang = 'fr')
 SELECT doc_id, lang, n_chars, source_ord FROM kept
 ORDER BY {key_sql(SEED + 1, 'source_ord', 'doc_id')}, source_ord, doc_id LIMIT {CAP}""",
