@@ -224,7 +224,8 @@ def delta_rank(
     # Tree depth from shapes alone: one row per tensor reaches this aggregate.
     blocks = F.ceil(F.greatest("rows", "cols") / height)
     depth = flat.filter(F.col("row_idx") == 0).agg(F.max(F.ceil(F.log(blocks) / F.log(fan)))).first()[0] or 0
-    pieces = cut.groupBy(*_BLOCK).applyInArrow(_first_factor, _PIECES)
+    # Without depth every matrix is one block and goes to its rank directly.
+    pieces = cut.groupBy(*_BLOCK).applyInArrow(_first_factor, _PIECES) if depth else cut
     for _ in range(int(depth) - 1):
         pieces = (
             pieces.withColumn("at", F.col("block") % fan * short + F.col("at"))

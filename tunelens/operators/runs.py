@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunelens.functions.common import let
+
 # How a large-file pointer starts and what closes a traceback.
 POINTER_START = "version https://git-lfs"
 EXCEPTION_LINE = r"^[A-Za-z_][\w.]*(Error|Exception|Interrupt|Exit|Warning)(\(\w*\))?(:|$)"
@@ -28,21 +30,18 @@ def args_to_map(args: Column) -> Column:
 
     A trailing flag without value maps to null. Flags lose their leading dashes.
     """
-    places = F.sequence(F.lit(0), F.size(args) - 1, F.lit(2))
-    entries = F.when(
-        F.size(args) > 0,
-        F.transform(
-            places,
-            lambda i: F.struct(
-                F.regexp_replace(F.get(args, i), "^-+", "").alias("key"), F.get(args, i + 1).alias("value")
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    later = lambda e, i, es: F.exists(F.slice(es, i + 2, F.size(es)), lambda o: o["key"] == e["key"])
-    last = F.transform(
-        F.array(entries), lambda es: F.filter(es, lambda e, i: ~later(e, i, es))
+    names = F.transform(
+        F.filter(args, lambda a, i: i % 2 == 0), lambda a: F.regexp_replace(a, "^-+", "")
     )
-    return F.map_from_entries(F.element_at(last, 1))
+    values = F.transform(F.filter(args, lambda a, i: i % 2 == 0), lambda a, i: F.get(args, 2 * i + 1))
+
+    def last_of_each(pairs: Column) -> Column:
+        kept = F.array_distinct(pairs["names"])
+        place = lambda name: (F.array_position(pairs["names"], name) - 1).cast("int")
+        return F.map_from_arrays(kept, F.transform(kept, lambda name: F.get(pairs["values"], place(name))))
+
+    # Backwards, the first value of a name is its last.
+    return let(F.struct(F.reverse(names).alias("names"), F.reverse(values).alias("values")), last_of_each)
 
 
 def is_pointer(content: Column) -> Column:

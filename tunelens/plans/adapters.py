@@ -13,7 +13,8 @@ from tunelens.functions.common import int_div
 from tunelens.functions.messages import message
 from tunelens.functions.text import option_letter
 from tunelens.operators.ordering import with_position
-from tunelens.session import broadcast_if_small
+from tunelens.session import broadcast_if_small, work_path
+from tunelens.sources.tables import read_params
 
 MODELS = 3
 TOKEN_LIMIT = 1024
@@ -258,22 +259,28 @@ terms AS (SELECT vec_id, seq_id, pos, loss_mask, i, {term} AS term FROM mixed)""
 
 
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A base and three tuned models over the vectors, one tensor per label."""
+    """A base and three tuned models over the vectors, one tensor per label.
+
+    Stored first, as parameter tables are: both sides of a comparison then scan
+    only their models.
+    """
     label, vec = F.col("label"), F.col("vec_id")
     tensor = (
         F.when(label == 9, F.lit("embed.weight"))
         .when(label % 2 == 0, F.concat(F.lit("layers."), label.cast("string"), F.lit(".mlp.down_proj.weight")))
         .otherwise(F.concat(F.lit("layers."), label.cast("string"), F.lit(".self_attn.v_proj.weight")))
     )
-    rows = with_position(table(spark, sf_dir, "embeddings"), ["vec_id"], "row_idx", within=["label"], key=["vec_id"])
-    sizes = broadcast_if_small(rows.groupBy("label").agg(F.count("*").cast("int").alias("n_rows")))
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = with_position(vectors, ["vec_id"], "row_idx", within=["label"], key=["vec_id"])
+    sizes = broadcast_if_small(vectors.groupBy("label").agg(F.count("*").cast("int").alias("n_rows")))
 
     def value(x: Column, i: Column) -> Column:
         ground = F.floor(x.cast("double") * 1024) / 1024
         moved = (F.col("m") > 0) & ((vec * 31 + i * 7 + F.col("m")) % 10 < 2)
         return (ground + F.when(moved, F.lit(1.0 / 1024)).otherwise(0.0)).cast("float")
 
-    return (
+    path = work_path(spark, "params")
+    (
         rows.join(sizes, "label")
         .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(len(TUNED)))))
         .select(
@@ -283,7 +290,9 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
             "row_idx",
             F.transform("embedding", value).alias("values"),
         )
+        .write.parquet(path)
     )
+    return read_params(spark, path)
 
 
 PARAMS_SQL = """params AS (

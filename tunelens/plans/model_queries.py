@@ -23,7 +23,6 @@ from tunelens.plans import adapters as a
 from tunelens.plans.evaluation_queries import rounded
 from tunelens.session import work_path
 from tunelens.sources.runs import load_runs
-from tunelens.sources.tables import read_params
 from tunelens.streaming.gradients import latest_metrics, start_metrics, streaming_metrics
 
 MASKED = (3, 17)
@@ -95,10 +94,7 @@ def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_param_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through a stored parameter table."""
-    path = work_path(spark, "params")
-    a.params(spark, sf_dir).write.parquet(path)
-    delta = param_delta(read_params(spark, path), a.BASE, a.TUNED)
+    delta = _delta(spark, sf_dir)
     total = F.aggregate("delta", F.lit(0.0), lambda s, x: s + x.cast("double"))
     largest = F.array_max(F.transform("delta", lambda x: F.abs(x)))
     return (
