@@ -100,6 +100,9 @@ def test_null_and_empty_rows(spark):
     got = [r[1] for r in df.select("i", log_softmax(F.col("a"))).orderBy("i").collect()]
     assert got[0] == pytest.approx([-1.313262, -0.313262], abs=1e-6)
     assert got[1:] == [None, [], [0.0]]
+    got = [r[1] for r in df.select("i", entropy(F.col("a"))).orderBy("i").collect()]
+    assert got[0] == pytest.approx(0.582203, abs=1e-6)
+    assert got[1:] == [None, 0.0, 0.0]
 
 
 def test_unequal_rows_are_an_error(spark):
@@ -110,3 +113,14 @@ def test_unequal_rows_are_an_error(spark):
 def test_unknown_loss():
     with pytest.raises(ValueError, match="unknown divergence"):
         divergence("nope")
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = [(rng.normal(size=9), rng.normal(size=9)) for _ in range(50)]
+    whole = losses(spark, pairs)
+    monkeypatch.setattr("tunelens.functions.divergence.SLICE_CELLS", 20)
+    assert losses(spark, pairs) == pytest.approx(whole, rel=1e-12)
+    df = logits(spark, pairs)
+    rows = df.select("pos", log_softmax(F.col("student_logits")).alias("l")).orderBy("pos").collect()
+    assert all(sum(np.exp(r.l)) == pytest.approx(1.0) for r in rows)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tunelens.functions.messages import ChatTemplate, apply_template, patch_system, render, with_privilege, with_privilege_text
+from tunelens.functions.messages import ChatTemplate, apply_template, last_content, patch_system, render, with_privilege, with_privilege_text
 from tunelens.operators.prompts import (
     correct_text,
     eval_prompt,
@@ -108,6 +108,8 @@ def test_privilege_and_rendering(spark):
     assert [(p.label, p.datasource) for p in pairs] == [("B", "src"), ("", "default"), ("", "default")]
     assert {p.prompt_len for p in pairs} == {1}
     assert df.select(render(F.col("messages"), template, False)).first()[0] == "[user]u;"
+    assert df.select(last_content(F.col("messages"))).first()[0] == "u"
+    assert df.select(last_content(F.slice("messages", 1, 0))).first()[0] is None
 
 
 def test_plain_text_prompts(spark):

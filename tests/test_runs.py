@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tunelens.operators.gradients import grad_metrics, to_metrics
 from tunelens.operators.rollups import length_rollup, phase_rollup, reward_rollup, sampling_rollup
-from tunelens.operators.runs import args_to_map, failure_reason
+from tunelens.operators.runs import args_to_map, failure_reason, pointer_runs
 from tunelens.sources.runs import load_runs, read_run_files, read_run_logs
 from tunelens.streaming.gradients import latest_metrics, start_metrics, streaming_metrics
 
@@ -47,7 +47,10 @@ def test_failures(spark, tmp_path):
     folder(tmp_path, "a1", log=log)
     folder(tmp_path, "b2", log="fine\nNotAnErrorLine here\n")
     folder(tmp_path, "c3", log="KeyboardInterrupt\n")
-    rows = failure_reason(read_run_logs(spark, f"{tmp_path}/*/files/log")).collect()
+    folder(tmp_path, "d4", log=POINTER)
+    logs = read_run_logs(spark, f"{tmp_path}/*/files/log")
+    assert [r.run_id for r in pointer_runs(logs).collect()] == ["d4"]
+    rows = failure_reason(logs).collect()
     assert {r.run_id: r.reason for r in rows} == {
         "a1": "pkg.errors.TaskError(OutOfMemoryError): last one", "c3": "KeyboardInterrupt",
     }

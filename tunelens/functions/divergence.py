@@ -23,6 +23,9 @@ TEMPERATURE = 1.0
 
 DivergenceFn = Callable[..., Column]
 
+# Cells handled at once: keeps the temporaries of a batch small and in cache.
+SLICE_CELLS = 262_144
+
 
 class Rows:
     """A list array as flat doubles with row starts, for segmented reductions."""
@@ -31,6 +34,7 @@ class Rows:
         self.lengths = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         self.flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         self.filled = self.lengths > 0
+        self.missing = pc.is_null(array).to_numpy(zero_copy_only=False)
         self.starts = (np.cumsum(self.lengths) - self.lengths)[self.filled]
 
     def reduce(self, op: np.ufunc, flat: np.ndarray) -> np.ndarray:
@@ -39,6 +43,10 @@ class Rows:
             out[self.filled] = op.reduceat(flat, self.starts)
         return out
 
+    def totals(self, flat: np.ndarray) -> pa.Array:
+        """Sum of each row; null for a null row."""
+        return pa.array(self.reduce(np.add, flat), mask=self.missing)
+
     def spread(self, per_row: np.ndarray) -> np.ndarray:
         return np.repeat(per_row, self.lengths)
 
@@ -58,6 +66,28 @@ class Rows:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=mask)
 
 
+def _in_slices(kernel: Callable[..., pa.Array], *arrays: pa.Array) -> pa.Array:
+    """Run a kernel over runs of whole rows of about ``SLICE_CELLS`` cells."""
+    count = len(arrays[0])
+    cells = pc.sum(pc.list_value_length(arrays[0])).as_py() or 0
+    rows = max(1, count * SLICE_CELLS // max(cells, 1))
+    if rows >= count:
+        return kernel(*arrays)
+    return pa.concat_arrays([kernel(*[a.slice(at, rows) for a in arrays]) for at in range(0, count, rows)])
+
+
+def _kernel(returns: str, compute: Callable[..., pa.Array], *columns: Column) -> Column:
+    """Apply an Arrow function over list columns."""
+
+    def one(array: pa.Array) -> pa.Array:
+        return _in_slices(compute, array)
+
+    def two(left: pa.Array, right: pa.Array) -> pa.Array:
+        return _in_slices(compute, left, right)
+
+    return F.arrow_udf(one if len(columns) == 1 else two, returns)(*columns)
+
+
 def _pair(student: pa.Array, teacher: pa.Array) -> tuple[Rows, Rows]:
     left, right = Rows(student), Rows(teacher)
     if not np.array_equal(left.lengths, right.lengths):
@@ -88,32 +118,29 @@ def _jsd_terms(student, teacher, beta, clip, temperature, masked) -> tuple[Rows,
 def log_softmax(logits: Column, temperature: float = TEMPERATURE) -> Column:
     """Log probabilities of one row of logits; ``exp`` of it is the softmax."""
 
-    @F.arrow_udf("array<double>")
-    def kernel(array: pa.Array) -> pa.Array:
+    def compute(array: pa.Array) -> pa.Array:
         rows = Rows(array)
         return rows.lists(rows.log_softmax(temperature), array)
 
-    return kernel(logits)
+    return _kernel("array<double>", compute, logits)
 
 
 def softmax(logits: Column, temperature: float = TEMPERATURE) -> Column:
-    @F.arrow_udf("array<double>")
-    def kernel(array: pa.Array) -> pa.Array:
+    def compute(array: pa.Array) -> pa.Array:
         rows = Rows(array)
         return rows.lists(np.exp(rows.log_softmax(temperature)), array)
 
-    return kernel(logits)
+    return _kernel("array<double>", compute, logits)
 
 
 def log_mixture(log_teacher: Column, log_student: Column, beta: float = JSD_BETA) -> Column:
     """log(beta * p_teacher + (1 - beta) * p_student) from two rows of log probabilities."""
 
-    @F.arrow_udf("array<double>")
-    def kernel(teacher: pa.Array, student: pa.Array) -> pa.Array:
+    def compute(teacher: pa.Array, student: pa.Array) -> pa.Array:
         right, left = _pair(teacher, student)
         return left.lists(_log_mix(right.flat, left.flat, beta), student)
 
-    return kernel(log_teacher, log_student)
+    return _kernel("array<double>", compute, log_teacher, log_student)
 
 
 def pointwise_jsd(
@@ -127,12 +154,11 @@ def pointwise_jsd(
     """Per-entry Jensen-Shannon terms. The clip bounds each term from above only."""
     masked = list(mask_ids)
 
-    @F.arrow_udf("array<double>")
-    def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
+    def compute(left: pa.Array, right: pa.Array) -> pa.Array:
         rows, terms = _jsd_terms(left, right, beta, clip, temperature, masked)
         return rows.lists(terms, left)
 
-    return kernel(student, teacher)
+    return _kernel("array<double>", compute, student, teacher)
 
 
 def jsd(
@@ -146,12 +172,11 @@ def jsd(
     """Sum of the pointwise terms, without sending the terms back to the JVM."""
     masked = list(mask_ids)
 
-    @F.arrow_udf("double")
-    def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
+    def compute(left: pa.Array, right: pa.Array) -> pa.Array:
         rows, terms = _jsd_terms(left, right, beta, clip, temperature, masked)
-        return pa.array(rows.reduce(np.add, terms))
+        return rows.totals(terms)
 
-    return kernel(student, teacher)
+    return _kernel("double", compute, student, teacher)
 
 
 def reverse_kl(
@@ -165,28 +190,26 @@ def reverse_kl(
     """Sum of p_student * (log p_student - log p_teacher); ``beta`` has no part in it."""
     masked = list(mask_ids)
 
-    @F.arrow_udf("double")
-    def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
+    def compute(left: pa.Array, right: pa.Array) -> pa.Array:
         rows, other = _pair(left, right)
         log_s, log_t = rows.log_softmax(temperature), other.log_softmax(temperature)
         terms = _capped(np.exp(log_s) * (log_s - log_t), clip)
         if masked:
             terms[np.isin(rows.positions(), masked)] = 0.0
-        return pa.array(rows.reduce(np.add, terms))
+        return rows.totals(terms)
 
-    return kernel(student, teacher)
+    return _kernel("double", compute, student, teacher)
 
 
 def entropy(logits: Column, temperature: float = TEMPERATURE) -> Column:
     """Minus the sum of p log p of one row of logits."""
 
-    @F.arrow_udf("double")
-    def kernel(array: pa.Array) -> pa.Array:
+    def compute(array: pa.Array) -> pa.Array:
         rows = Rows(array)
         logs = rows.log_softmax(temperature)
-        return pa.array(-rows.reduce(np.add, np.exp(logs) * logs))
+        return rows.totals(-np.exp(logs) * logs)
 
-    return kernel(logits)
+    return _kernel("double", compute, logits)
 
 
 def mask_vocab(terms: Column, mask_ids: Sequence[int]) -> Column:

@@ -45,6 +45,11 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+def last_content(messages: Column) -> Column:
+    """Text of the last message; null for an empty list."""
+    return F.get(messages, F.size(messages) - 1)["content"]
+
+
 def lettered_options(options: Column) -> Column:
     """``A. text`` lines, each closed by a newline."""
     lines = F.transform(options, lambda o, i: F.concat(option_letter(i), F.lit(". "), o, F.lit("\n")))

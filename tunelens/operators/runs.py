@@ -49,6 +49,11 @@ def is_pointer(content: Column) -> Column:
     return F.startswith(content, F.lit(POINTER_START))
 
 
+def pointer_runs(lines: DataFrame, run: str = "run_id") -> DataFrame:
+    """Runs whose log only points elsewhere, from its first line; logs may be of any size."""
+    return lines.filter((F.col("line_no") == 0) & is_pointer(F.col("value"))).select(run)
+
+
 def failure_reason(lines: DataFrame, run: str = "run_id") -> DataFrame:
     """The last line of each run's log that names an exception.
 
