@@ -28,8 +28,9 @@ def test_missing_response_counts_in_total_only(samples, responses):
 
 
 def test_models_are_scored_over_all_samples(samples, responses):
-    card = {(r.model, r.split): r for r in compare_models(samples, responses).collect()}
-    assert set(card) == {("m", "v"), ("m", "t"), ("n", "v"), ("n", "t")}
+    card = {(r.model, r.split): r for r in compare_models(samples, responses, ["v", "t", "none"]).collect()}
+    assert set(card) == {(m, s) for m in "mn" for s in ("v", "t", "none")}
+    assert (card["m", "none"].total, card["m", "none"].accuracy) == (0, 0.0)
     assert (card["n", "v"].total, card["n", "v"].correct) == (4, 1)
     assert (card["n", "t"].total, card["n", "t"].wrong, card["n", "t"].accuracy) == (1, 0, 0.0)
 

@@ -85,7 +85,7 @@ def update_overlap(delta: DataFrame, tuned: Sequence[str], threshold: float = UP
         raise ValueError("overlap needs two or more models")
     spark = delta.sparkSession
     names = F.array(*[F.lit(n) for n in tuned])
-    marked = delta.select(
+    marked = delta.filter(F.col("model").isin(*tuned)).select(
         *ROW,
         F.struct(
             F.array_position(names, F.col("model")).alias("ord"),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tunelens.functions.text import extract_answer, same_number, tail
 
 KEYS = ("split", "idx")
-# How much of an audited row is shown.
+# The splits evaluated by default, and how much of an audited row is shown.
+SPLITS = ("validation", "test")
 AUDIT_FIRST = 3
 AUDIT_QUESTION_CHARS = 200
 AUDIT_RESPONSE_CHARS = 300
@@ -75,30 +76,31 @@ def scorecard(
 def compare_models(
     samples: DataFrame,
     responses: DataFrame,
+    splits: Sequence[str] = SPLITS,
     on: Sequence[str] = KEYS,
     combined: bool = False,
 ) -> DataFrame:
-    """The scorecard of every model that responded, each over all samples.
+    """The scorecard of every model that responded, each over all samples of the named splits.
 
     Outcomes come from one inner join; totals from the samples alone, so no
-    model-by-sample grid is built to find missing responses.
+    model-by-sample grid is built to find missing responses. A split in which a
+    model answered nothing, or that has no samples, still has its row.
     """
-    scored = classify(
-        samples.select(*on, "correct_option").join(
-            answers(responses, ["model", *on]).withColumn("responded", F.lit(True)), list(on)
-        )
-    )
+    asked = samples.filter(F.col("split").isin(*splits))
+    given = answers(responses, ["model", *on]).withColumn("responded", F.lit(True))
+    scored = classify(asked.select(*on, "correct_option").join(given, list(on)))
     outcomes = scored.groupBy("model", "split").agg(*_counts())
-    # One row per split: an array small enough to hang on each model's row.
-    totals = samples.groupBy("split").agg(F.count("*").alias("total"))
-    listed = totals.agg(F.collect_list(F.struct("split", "total")).alias("splits"))
-    grid = (
+    totals = asked.groupBy("split").agg(F.count("*").alias("total"))
+    named = F.explode(F.array(*[F.lit(s) for s in splits])).alias("split")
+    counts = (
         responses.select("model")
         .distinct()
-        .select("model", F.explode(listed.scalar()).alias("entry"))
-        .select("model", "entry.split", "entry.total")
+        .select("model", named)
+        .join(totals, "split", "left")
+        .join(outcomes, ["model", "split"], "left")
+        .select("model", "split", "total", "correct", "wrong", "no_answer")
+        .fillna(0)
     )
-    counts = grid.join(outcomes, ["model", "split"], "left").fillna(0, ["correct", "wrong", "no_answer"])
     return _with_rates(_combine(counts, ["model"]) if combined else counts)
 
 

@@ -72,6 +72,7 @@ def advantage(
 
     Group statistics are aggregated map-side and joined back instead of windowed:
     a window puts a whole group in one task, while a skewed join can be split.
+    Rows are read twice, so grade texts into a narrow table first.
     """
     stats = df.groupBy(*group).agg(
         F.avg(reward).alias("__mean"),

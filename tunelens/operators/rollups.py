@@ -32,7 +32,8 @@ def reward_rollup(
     total: str = "reward",
 ) -> DataFrame:
     """Mean and sample deviation of each reward and of the total, and the share
-    of prompt groups whose rewards are all equal."""
+    of prompt groups whose rewards are all equal. Rows are read twice, so grade
+    texts into a narrow table first."""
     stats: list[Column] = []
     for name in rewards:
         stats += [F.avg(name).alias(f"rewards/{name}/mean"), F.stddev_samp(name).alias(f"rewards/{name}/std")]

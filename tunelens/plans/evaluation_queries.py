@@ -59,7 +59,7 @@ def q_scorecard_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    card = compare_models(a.samples(spark, sf_dir), a.model_responses(spark, sf_dir), KEYS, combined=True)
+    card = compare_models(a.samples(spark, sf_dir), a.model_responses(spark, sf_dir), on=KEYS, combined=True)
     return card.select("model", "split", "total", "correct", "wrong", "no_answer", rounded("accuracy"))
 
 
