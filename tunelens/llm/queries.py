@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tunelens.llm import language_id
 from tunelens.llm.quality_rules import score_documents
 
 
@@ -15,5 +17,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
+def id_bucket(doc_id: Column, buckets: int) -> Column:
+    """CRC-32 of the id's text, modulo the number of buckets; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % buckets
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 3) == 1
+    model = language_id.fit(documents.filter(~held_out))
+    rows = documents.select("doc_id", held_out.alias("held_out"), "text")
+    return language_id.identify(rows, model).drop("text")
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op5_language_id": op5_language_id,
+}
 ORACLES: dict[str, str] = {}
