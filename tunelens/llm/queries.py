@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelens.llm import language_id
+from tunelens.llm import language_id, license_scan
 from tunelens.llm.quality_rules import score_documents
 
 
@@ -30,8 +30,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, model).drop("text")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(rows).select("doc_id", "licences.*")
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_language_id": op5_language_id,
+    "op9_license_scan": op9_license_scan,
 }
 ORACLES: dict[str, str] = {}
