@@ -213,10 +213,11 @@ class Scanner:
         # Base phrases that are suffixes of a state's runs: its own and those of its suffix link.
         self.whole: list[list[tuple[int, int]]] = [[] for _ in self.automaton.link]
         for state in sorted(range(1, len(self.whole)), key=lambda s: self.automaton.longest[s]):
+            shorter = self.automaton.longest[self.automaton.link[state]]  # the state's runs are longer than that
             own = {
                 (number - n_notices, self.sizes[number])
                 for number, end in self.automaton.places[state]
-                if number >= n_notices and end == self.sizes[number] - 1
+                if number >= n_notices and end == self.sizes[number] - 1 and shorter < end + 1
             }
             self.whole[state] = sorted(own.union(self.whole[self.automaton.link[state]]))
         self.notice_places = [[(n, e) for n, e in sorted(places) if n < n_notices] for places in self.automaton.places]
