@@ -217,7 +217,7 @@ class Scanner:
             own = {
                 (number - n_notices, self.sizes[number])
                 for number, end in self.automaton.places[state]
-                if number >= n_notices and end == self.sizes[number] - 1 and shorter < end + 1
+                if number >= n_notices and end == self.sizes[number] - 1 and shorter < end + 1 <= self.automaton.longest[state]
             }
             self.whole[state] = sorted(own.union(self.whole[self.automaton.link[state]]))
         self.notice_places = [[(n, e) for n, e in sorted(places) if n < n_notices] for places in self.automaton.places]
