@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelens.llm import language_id, license_scan
+from tunelens.llm import language_id, license_scan, minhash_dedup
 from tunelens.llm.quality_rules import score_documents
 
 
@@ -22,6 +22,10 @@ def id_bucket(doc_id: Column, buckets: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % buckets
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = id_bucket(F.col("doc_id"), 3) == 1
@@ -37,6 +41,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op5_language_id": op5_language_id,
     "op9_license_scan": op9_license_scan,
 }
