@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelens.llm import embedding_dedup, language_id, license_scan, minhash_dedup
+from tunelens.llm import embedding_dedup, language_id, license_scan, minhash_dedup, sharding
 from tunelens.llm.quality_rules import score_documents
 
 
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, model).drop("text")
 
 
+def op7_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_language_id": op5_language_id,
+    "op7_label_sharding": op7_label_sharding,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
 }
