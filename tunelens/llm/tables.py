@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILTER_BITS = 20
 
 
+def cut(*keys: str) -> Column:
+    """The first FILTER_BITS bits of the keys' hash."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 64 - FILTER_BITS)
+
+
+def cuts(ids: DataFrame, *keys: str) -> DataFrame:
+    """The cut hashes of all keys: at most 2**FILTER_BITS rows, whatever the number of keys."""
+    return ids.select(cut(*keys).alias("__cut")).distinct()
+
+
 def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in ``ids``, shuffling few others.
 
-    The hashed keys are cut to FILTER_BITS bits, so the broadcast side has at most 2**20 longs
-    whatever the number of ids; it drops most other rows before the exact semi-join.
+    The broadcast side has at most 2**FILTER_BITS longs whatever the number of ids; it drops most
+    other rows before the exact semi-join.
     """
-    cut = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
-    seen = ids.select(cut(F.col(key)).alias("__cut")).distinct()
-    likely = rows.withColumn("__cut", cut(F.col(key))).join(F.broadcast(seen), "__cut", "left_semi").drop("__cut")
+    seen = F.broadcast(cuts(ids, key))
+    likely = rows.withColumn("__cut", cut(key)).join(seen, "__cut", "left_semi").drop("__cut")
     return likely.join(ids.select(key), key, "left_semi")
