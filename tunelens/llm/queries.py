@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelens.llm import embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, sharding
+from tunelens.llm import embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, sharding
 from tunelens.llm.quality_rules import score_documents
 
 
@@ -52,6 +52,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(rows).select("doc_id", "licences.*")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -60,5 +64,6 @@ QUERIES = {
     "op7_label_sharding": op7_label_sharding,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
