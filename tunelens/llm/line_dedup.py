@@ -201,8 +201,11 @@ def repeated_runs(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def drop_repeats(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """All input columns with the shortened text, and n_lines, n_gone and kept."""
+def drop_repeats(
+    documents: DataFrame, least: int = MIN_WORDS, names: tuple[str, str, str] = ("n_lines", "n_gone", "kept")
+) -> DataFrame:
+    """All input columns with the shortened text, and how many lines it had and lost, and kept."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
     keyed = documents.withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__hash": F.xxhash64("text")}
     )
@@ -216,20 +219,22 @@ def drop_repeats(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     lines = F.split("text", "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0))
     whole = split.filter(F.col("__hit").isNull()).select(
-        *[F.col(c) for c in documents.columns],
-        n_lines.alias("n_lines"),
-        F.lit(0).alias("n_gone"),
-        F.lit(True).alias("kept"),
+        *columns,
+        n_lines.alias(names[0]),
+        F.lit(0).alias(names[1]),
+        F.lit(True).alias(names[2]),
     )
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     hit = split.filter(F.col("__hit")).join(
-        gone.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "gone"), ["__id", "__hash"], "left"
+        gone.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("gone").alias("__gone")),
+        ["__id", "__hash"],
+        "left",
     )
-    changed = hit.withColumn("__rest", F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)).select(
-        *[F.col("__rest").alias(c) if c == "text" else F.col(c) for c in documents.columns],
-        n_lines.alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_gone"),
-        (F.col("gone").isNull() | F.col("__rest").rlike("[^\\x20\\x09-\\x0D]")).alias("kept"),
+    changed = hit.withColumn("__rest", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)).select(
+        *[F.col("__rest").alias(n) if n == "text" else c for n, c in zip(documents.columns, columns, strict=True)],
+        n_lines.alias(names[0]),
+        F.coalesce(F.size("__gone"), F.lit(0)).alias(names[1]),
+        (F.col("__gone").isNull() | F.col("__rest").rlike("[^\\x20\\x09-\\x0D]")).alias(names[2]),
     )
     return whole.union(changed)

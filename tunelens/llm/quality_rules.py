@@ -12,7 +12,8 @@ every executor is bounded whatever the input; the text itself is never shuffled.
 Defined results: null, empty or blank text has no words, fails the base rules and has a null score;
 repeated rows are scored one by one; an empty table gives no rows; without trusted documents both
 multinomials are flat against each other in the trusted part, and the threshold still applies;
-other input columns are not read, whatever their names.
+all input columns are carried in one struct, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -141,18 +142,18 @@ def score_documents(
     max_trusted: int = MAX_TRUSTED,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """doc_id, base counts, base_failed, score and kept of every document."""
+    """The input row as the struct ``row``, with base counts, base_failed, score and kept."""
     weights = bucket_weights(documents, trusted_ids(labels, max_trusted), buckets)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     split = documents.select(
-        "doc_id",
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
         words(F.col("text")).alias("__words"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("__lines"),
     )
     counted = split.select(
-        "doc_id",
+        "row",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -166,7 +167,7 @@ def score_documents(
     )
     # The joined side is one row of ``buckets`` longs.
     scored = counted.join(F.broadcast(weights)).select(
-        "doc_id",
+        "row",
         "n_words",
         "word_chars",
         "n_symbols",

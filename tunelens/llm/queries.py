@@ -19,7 +19,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(rows, table(spark, sf_dir, "labels")).select("row.doc_id", "*").drop("row")
 
 
 def id_bucket(doc_id: Column, buckets: int) -> Column:

@@ -27,3 +27,12 @@ def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     seen = F.broadcast(cuts(ids, key))
     likely = rows.withColumn("__cut", cut(key)).join(seen, "__cut", "left_semi").drop("__cut")
     return likely.join(ids.select(key), key, "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in ``ids``; only those whose hash makes it likely are shuffled."""
+    seen = F.broadcast(cuts(ids, key))
+    marked = rows.withColumn("__cut", cut(key))
+    surely = marked.join(seen, "__cut", "left_anti")
+    checked = marked.join(seen, "__cut", "left_semi").join(ids.select(key), key, "left_anti")
+    return surely.union(checked.select(*surely.columns)).drop("__cut")
