@@ -5,19 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelens.llm import quality_rules
-from tunelens.llm.queries import table
+from tunelens.llm import language_id, line_dedup, minhash_dedup, packing, quality_rules
+from tunelens.llm.tables import without
 from tunelens.session import materialise
 
+MIN_LANGUAGE_SCORE = 0.35  # a text that fits no language clearly better than chance is rejected
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go."""
+    judged = language_id.identify(docs, language_id.fit(docs), "__lang", "__score")
+    kept = (F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)
+    return judged.filter(kept).drop("__lang", "__score")
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or read unlike trusted text go."""
-    kept = quality_rules.score_documents(docs, table(spark, sf_dir, "labels")).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    scored = quality_rules.score_documents(docs, table(spark, sf_dir, "labels"))
+    # Filters are not pushed through a column that is not deterministic; pushed, this one would compute
+    # the repetition counts twice.
+    settled = scored.withColumn("place", F.monotonically_increasing_id())
+    return settled.filter(F.col("kept") & (F.col("place") >= 0)).select("row.*")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines go; documents that were nothing else go as a whole."""
+    names = ("__lines", "__gone_lines", "__kept")
+    shortened = line_dedup.drop_repeats(docs, names=names).filter("__kept")
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("__gone_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        shortened = shortened.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return shortened.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    judged = materialise(minhash_dedup.near_duplicates(docs).filter("not kept").select("doc_id"))
+    return without(docs, judged, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's place in a training sequence."""
+    return packing.pack(docs)
 
 
-STAGES = [("quality_rules", keep_quality)]
-ORACLE_SQL = None
+STAGES = [
+    ("language_id", keep_languages),
+    ("quality_rules", keep_quality),
+    ("line_dedup", drop_lines),
+    ("minhash_dedup", drop_near_duplicates),
+    ("best_fit_packing", pack_sequences),
+]
+ORACLE_SQL = None  # the language model and hashed bands are beyond SQL; see tests/llm/test_pipeline.py
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
