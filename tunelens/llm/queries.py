@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelens.llm import embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, sharding
+from tunelens.llm import (
+    context_mixing,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    minhash_dedup,
+    packing,
+    sharding,
+)
 from tunelens.llm.quality_rules import score_documents
 
 
@@ -32,6 +41,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = id_bucket(F.col("doc_id"), 3) == 1
@@ -61,6 +74,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_context_mixing": op4_context_mixing,
     "op5_language_id": op5_language_id,
     "op7_label_sharding": op7_label_sharding,
     "op8_embedding_dedup": op8_embedding_dedup,
