@@ -14,6 +14,7 @@ from tunelens.llm import (
     minhash_dedup,
     packing,
     sharding,
+    suffix_pieces,
 )
 from tunelens.llm.quality_rules import score_documents
 
@@ -53,6 +54,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, model).drop("text")
 
 
+def op6_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = suffix_pieces.Pieces()
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", suffix_pieces.encoded(F.col("text"), pieces).alias("ids")
+    )
+    back = suffix_pieces.decoded(F.col("ids"), pieces)
+    return rows.select("doc_id", F.size("ids").alias("n_pieces"), "ids", back.eqNullSafe(F.col("text")).alias("same"))
+
+
 def op7_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -76,6 +86,7 @@ QUERIES = {
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_context_mixing": op4_context_mixing,
     "op5_language_id": op5_language_id,
+    "op6_suffix_pieces": op6_suffix_pieces,
     "op7_label_sharding": op7_label_sharding,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
