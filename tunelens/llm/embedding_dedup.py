@@ -224,10 +224,11 @@ def near_vectors(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
         .withColumn("group", F.pmod(F.xxhash64("cell", "low", "high"), F.lit(groups)))
-        .select("group", "cell", "low", "high", "block", "place", "node", "copies", "vector", "owned")
+        .withColumn("width", F.size("vector"))  # cells of vectors of different lengths differ, too
+        .select("group", "width", "cell", "low", "high", "block", "place", "node", "copies", "vector", "owned")
     )
     found = materialise(
-        dealt.groupBy("group").applyInPandas(lambda part: cell_links(part, least), FOUND)
+        dealt.groupBy("group", "width").applyInPandas(lambda part: cell_links(part, least), FOUND)
     )
     singles = found.filter("n < 0").select("x", "y").distinct()
     both = singles.union(singles.select("y", "x")).toDF("x", "y")
