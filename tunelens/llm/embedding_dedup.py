@@ -14,8 +14,8 @@ pairs. Cells with many vectors are dealt into pairs of blocks, so no task holds
 blocks of rows. Equal vectors are one node with a multiplicity.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
-nothing, and so do vectors of different lengths; rows with a null id are judged as others are, with
-a null component if alone; repeated rows are linked; an empty table gives no rows.
+nothing, and so do vectors of different lengths and rows with a null id, whose component is null;
+repeated rows are linked; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -247,7 +247,8 @@ def near_vectors(
             F.coalesce("component", "node").alias("component"),
         )
     )
-    usable_key = F.when(F.col("vector").isNotNull(), F.col("key1")).alias("key1")
+    taking_part = F.col("vector").isNotNull() & F.col("vec_id").isNotNull()
+    usable_key = F.when(taking_part, F.col("key1")).alias("key1")
     out = judged.select("vec_id", usable_key, "key2").join(told, ["key1", "key2"], "left")
     return out.select(
         "vec_id",

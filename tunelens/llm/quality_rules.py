@@ -165,8 +165,7 @@ def score_documents(
     total = F.aggregate(
         ngram_buckets(F.col("__codes"), buckets), F.lit(0).cast("long"), lambda acc, b: acc + F.get("weights", b)
     )
-    # The joined side is one row of ``buckets`` longs.
-    scored = counted.join(F.broadcast(weights)).select(
+    scored = counted.withColumn("weights", weights.scalar()).select(
         "row",
         "n_words",
         "word_chars",
