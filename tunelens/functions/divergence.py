@@ -125,6 +125,24 @@ def log_softmax(logits: Column, temperature: float = TEMPERATURE) -> Column:
     return _kernel("array<double>", compute, logits)
 
 
+def token_log_probability(logits: Column, token: Column, temperature: float = TEMPERATURE) -> Column:
+    """Log probability of one entry of a row of logits; null outside the row.
+
+    Only the double leaves the kernel, not a vocabulary of them.
+    """
+
+    def compute(array: pa.Array, tokens: pa.Array) -> pa.Array:
+        rows = Rows(array)
+        place = pc.fill_null(tokens, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        inside = rows.filled & (place >= 0) & (place < rows.lengths)
+        at = (np.cumsum(rows.lengths) - rows.lengths + place)[inside]
+        out = np.zeros(len(rows.lengths))
+        out[inside] = rows.log_softmax(temperature)[at]
+        return pa.array(out, mask=~inside)
+
+    return _kernel("double", compute, logits, token)
+
+
 def softmax(logits: Column, temperature: float = TEMPERATURE) -> Column:
     def compute(array: pa.Array) -> pa.Array:
         rows = Rows(array)

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tunelens.functions.text import extract_answer, same_number, tail
 
 KEYS = ("split", "idx")
-# The splits evaluated by default, and how much of an audited row is shown.
-SPLITS = ("validation", "test")
+# How much of an audited row is shown.
 AUDIT_FIRST = 3
 AUDIT_QUESTION_CHARS = 200
 AUDIT_RESPONSE_CHARS = 300
@@ -53,7 +52,7 @@ def _with_rates(counts: DataFrame) -> DataFrame:
 
 def _combine(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add a ``combined`` row per group over the few rows of a scorecard."""
-    sums = [F.sum(c).alias(c) for c in ("total", "correct", "wrong", "no_answer")]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "correct", "wrong", "no_answer")]
     combined = counts.groupBy(*by).agg(*sums).withColumn("split", F.lit("combined"))
     return counts.unionByName(combined)
 
@@ -63,39 +62,48 @@ def scorecard(
     responses: DataFrame,
     on: Sequence[str] = KEYS,
     combined: bool = False,
+    splits: Sequence[str] = (),
 ) -> DataFrame:
     """One row per split, plus the combined totals on request.
 
-    A sample without a response counts in ``total`` and in no outcome.
+    A sample without a response counts in ``total`` and in no outcome. Named
+    ``splits`` have a row even if they are empty.
     """
     scored = classify(align(samples.select(*on, "correct_option"), answers(responses, on), on))
     counts = scored.groupBy("split").agg(F.count("*").alias("total"), *_counts())
+    if splits:
+        named = F.explode(F.array(*[F.lit(s) for s in splits])).alias("split")
+        every = samples.sparkSession.range(1).select(named)
+        counts = counts.join(every, "split", "full").fillna(0)
     return _with_rates(_combine(counts, []) if combined else counts)
 
 
 def compare_models(
     samples: DataFrame,
     responses: DataFrame,
-    splits: Sequence[str] = SPLITS,
+    splits: Sequence[str] | None = None,
     on: Sequence[str] = KEYS,
     combined: bool = False,
 ) -> DataFrame:
-    """The scorecard of every model that responded, each over all samples of the named splits.
+    """The scorecard of every model that responded, each over all samples of the named splits, or of all.
 
     Outcomes come from one inner join; totals from the samples alone, so no
     model-by-sample grid is built to find missing responses. A split in which a
     model answered nothing, or that has no samples, still has its row.
     """
-    asked = samples.filter(F.col("split").isin(*splits))
+    asked = samples if splits is None else samples.filter(F.col("split").isin(*splits))
     given = answers(responses, ["model", *on]).withColumn("responded", F.lit(True))
     scored = classify(asked.select(*on, "correct_option").join(given, list(on)))
     outcomes = scored.groupBy("model", "split").agg(*_counts())
     totals = asked.groupBy("split").agg(F.count("*").alias("total"))
-    named = F.explode(F.array(*[F.lit(s) for s in splits])).alias("split")
+    if splits is None:
+        every = totals.agg(F.collect_list("split").alias("splits"))
+    else:
+        every = samples.sparkSession.range(1).select(F.array(*[F.lit(s) for s in splits]).alias("splits"))
+    # The names of the splits are one row, read as a scalar.
+    models = responses.select("model").distinct().withColumn("splits", every.scalar())
     counts = (
-        responses.select("model")
-        .distinct()
-        .select("model", named)
+        models.select("model", F.explode("splits").alias("split"))
         .join(totals, "split", "left")
         .join(outcomes, ["model", "split"], "left")
         .select("model", "split", "total", "correct", "wrong", "no_answer")

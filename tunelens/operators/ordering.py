@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunelens.session import broadcast_if_small, materialise
+from tunelens.session import materialise
 
 # Fixed width: a key is 15 hexadecimal digits, its bucket the first four. So there
 # are at most 16**4 buckets, and their table (about 2 MB) always fits a broadcast.
@@ -77,12 +78,15 @@ def with_position(
     One range sort splits even a group that holds most rows; the sorted rows are
     written once, because a second sort may pick other range bounds. Places then
     come from rows per (group, partition), never from a window over a group.
-    Where ``key`` names a row, only key and order columns are sorted and written
+    Where ``key`` names a row (null is a name like others), only key and order columns are sorted and written
     and the place is joined back to the wide rows.
     """
     if key:
         narrow = df.select(*dict.fromkeys([*within, *order_by, *key]))
-        return df.join(with_position(narrow, order_by, name, within).select(*key, name), list(key))
+        named = {c: f"__key{i}" for i, c in enumerate(key)}
+        placed = with_position(narrow, order_by, name, within).select(*[F.col(c).alias(k) for c, k in named.items()], name)
+        same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(placed[k]) for c, k in named.items()])
+        return df.join(placed, same).drop(*named.values())
     ordered = materialise(
         df.orderBy(*within, *order_by).select(
             "*",
@@ -92,13 +96,11 @@ def with_position(
     )
     runs = ordered.groupBy(*within, "__part").agg(F.count("*").alias("__rows"), F.min("__row").alias("__first"))
     earlier = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = broadcast_if_small(
-        runs.select(
-            *[F.col(c).alias(f"__g{i}") for i, c in enumerate(within)],
-            F.col("__part").alias("__at"),
-            "__first",
-            F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"),
-        )
+    starts = runs.select(
+        *[F.col(c).alias(f"__g{i}") for i, c in enumerate(within)],
+        F.col("__part").alias("__at"),
+        "__first",
+        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"),
     )
     same = ordered["__part"] == starts["__at"]
     for i, c in enumerate(within):

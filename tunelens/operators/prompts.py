@@ -45,9 +45,10 @@ def eval_prompt(samples: DataFrame, system: str = EVAL_SYSTEM) -> DataFrame:
 
 
 def reward_input(chat_rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(prompt, correct_option) with the label letter as a 1-based option."""
+    """(prompt, correct_option) with the label letter as a 1-based option; null without a label."""
+    option = F.when(F.trim("label") != "", label_to_option(F.col("label")))
     return chat_rows.select(
-        *keep, F.col("messages").alias("prompt"), label_to_option(F.col("label")).alias("correct_option")
+        *keep, F.col("messages").alias("prompt"), option.alias("correct_option")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tunelens.functions.rewards import REWARDS, RewardFn
 from tunelens.functions.text import extract_answer, tail
+from tunelens.session import materialise
 
 # Characters shown by the debug row, and the usual advantage epsilon.
 DEBUG_RESPONSE_CHARS = 300
@@ -72,11 +73,16 @@ def advantage(
 
     Group statistics are aggregated map-side and joined back instead of windowed:
     a window puts a whole group in one task, while a skewed join can be split.
-    Rows are read twice, so grade texts into a narrow table first.
+    The statistics, one row per group, are stored first, because a join above an
+    aggregate that shares its shuffle is not split. Rows are read twice, so grade
+    texts into a narrow table first. Rows without a group are one group.
     """
-    stats = df.groupBy(*group).agg(
-        F.avg(reward).alias("__mean"),
-        F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("__std"),
+    stats = materialise(
+        df.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)]).agg(
+            F.avg(reward).alias("__mean"),
+            F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("__std"),
+        )
     )
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(stats[f"__g{i}"]) for i, c in enumerate(group)])
     scaled = (F.col(reward) - F.col("__mean")) / (F.col("__std") + eps)
-    return df.join(stats, list(group)).withColumn("advantage", scaled).drop("__mean", "__std")
+    return df.join(stats, same).withColumn("advantage", scaled).drop(*stats.columns)

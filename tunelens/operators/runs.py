@@ -14,13 +14,17 @@ EXCEPTION_LINE = r"^[A-Za-z_][\w.]*(Error|Exception|Interrupt|Exit|Warning)(\(\w
 
 def parse_summaries(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``metrics`` (map of the numeric entries) and ``nested`` (all others, as text)."""
-    entries = F.from_json(F.col(text), "map<string,string>")
-    number = lambda v: v.try_cast("double")
-    numeric = F.map_filter(entries, lambda k, v: number(v).isNotNull())
+    entries = F.from_json(F.col(text), "map<string,variant>")
+    # Only JSON numbers are numbers; text that looks like one stays text.
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    is_number = lambda v: F.rlike(kind(v), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    numeric = F.map_filter(entries, lambda k, v: is_number(v))
     return df.withColumns(
         {
-            "metrics": F.transform_values(numeric, lambda k, v: number(v)),
-            "nested": F.map_filter(entries, lambda k, v: number(v).isNull()),
+            "metrics": F.transform_values(numeric, lambda k, v: F.try_variant_get(v, "$", "double")),
+            "nested": F.transform_values(
+                F.map_filter(entries, lambda k, v: ~is_number(v)), lambda k, v: F.try_variant_get(v, "$", "string")
+            ),
         }
     )
 

@@ -46,13 +46,18 @@ def first_n(
 ) -> DataFrame:
     """The first ``n`` rows.
 
-    With a dense position this is a filter that reaches the scan. Otherwise rows
-    are placed first (by ``key`` alone where it names a row); unlike a sorted
-    limit, no task has to hold ``n`` rows.
+    With a dense position this is a filter that reaches the scan. Otherwise it is
+    a sorted limit, over ``key`` and order alone where a key names a row; each
+    task keeps ``n`` narrow rows at most.
     """
     if pos is not None:
         return df.filter(F.col(pos) < n)
-    return with_position(df, order_by, name="__pos", key=key).filter(F.col("__pos") < n).drop("__pos")
+    if not key:
+        return df.orderBy(*order_by).limit(n)
+    narrow = df.select(*dict.fromkeys([*order_by, *key])).orderBy(*order_by).limit(n)
+    chosen = narrow.select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(key)])
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(chosen[f"__key{i}"]) for i, c in enumerate(key)])
+    return df.join(chosen, same, "left_semi")
 
 
 def shuffle_epoch(

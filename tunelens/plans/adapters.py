@@ -6,6 +6,8 @@ expression, so that an oracle starts from the same rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from tunelens.functions.common import int_div
 from tunelens.functions.messages import message
 from tunelens.functions.text import option_letter
 from tunelens.operators.ordering import with_position
-from tunelens.session import broadcast_if_small, work_path
-from tunelens.sources.tables import read_params
+from tunelens.functions.divergence import entropy, token_log_probability
+from tunelens.sources.tables import PARAM_COLUMNS
 
 MODELS = 3
 TOKEN_LIMIT = 1024
@@ -57,7 +59,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("m"), (turn % 3).cast("string")).alias("model"),
         _suffixed(text, (conv * 3 + turn) % 8).alias("response"),
         ((int_div(conv, 2) + turn) % 4 + 1).alias("correct_option"),
-        F.least(F.length(text), F.lit(TOKEN_LIMIT)).cast("long").alias("n_tokens"),
+        F.length(text).cast("long").alias("n_tokens"),
         (conv % 50 + 10).alias("prompt_tokens"),
         ((conv + turn) % 5 != 0).alias("finished"),
     )
@@ -69,7 +71,7 @@ COMPLETIONS_SQL = f"""completions AS (
     'm' || CAST(turn % 3 AS VARCHAR) AS model,
     {suffix_sql('text', '((conv_id * 3 + turn) % 8)')} AS response,
     (conv_id // 2 + turn) % 4 + 1 AS correct_option,
-    least(length(text), {TOKEN_LIMIT}) AS n_tokens,
+    length(text) AS n_tokens,
     conv_id % 50 + 10 AS prompt_tokens,
     (conv_id + turn) % 5 <> 0 AS finished
   FROM conversations WHERE role = 'assistant')"""
@@ -108,18 +110,19 @@ SAMPLES_SQL = """samples AS (
 
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three models' responses; the last model answers nothing in every seventh conversation."""
-    conv, turn, m = F.col("conv_id"), F.col("turn"), F.col("m")
-    return (
-        _replies(spark, sf_dir)
-        .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(MODELS - 1))))
-        .filter((m < 2) | (conv % 7 != 0))
-        .select(
-            F.concat(F.lit("m"), m.cast("string")).alias("model"),
-            F.when(conv % 2 == 0, "validation").otherwise("test").alias("split"),
-            conv.alias("prompt_id"),
-            turn.alias("sample_id"),
-            _suffixed(F.col("text"), (conv * 3 + turn + m) % 8).alias("response"),
-        )
+    return reduce(DataFrame.unionAll, [responses_of(spark, sf_dir, m) for m in range(MODELS)])
+
+
+def responses_of(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
+    """One model's responses."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    replies = _replies(spark, sf_dir)
+    return (replies if m < 2 else replies.filter(conv % 7 != 0)).select(
+        F.lit(f"m{m}").alias("model"),
+        F.when(conv % 2 == 0, "validation").otherwise("test").alias("split"),
+        conv.alias("prompt_id"),
+        turn.alias("sample_id"),
+        _suffixed(F.col("text"), (conv * 3 + turn + m) % 8).alias("response"),
     )
 
 
@@ -261,8 +264,8 @@ terms AS (SELECT vec_id, seq_id, pos, loss_mask, i, {term} AS term FROM mixed)""
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A base and three tuned models over the vectors, one tensor per label.
 
-    Stored first, as parameter tables are: both sides of a comparison then scan
-    only their models.
+    Each model is a branch of its own, so a filter on models leaves only their
+    branches.
     """
     label, vec = F.col("label"), F.col("vec_id")
     tensor = (
@@ -272,27 +275,26 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     vectors = table(spark, sf_dir, "embeddings")
     rows = with_position(vectors, ["vec_id"], "row_idx", within=["label"], key=["vec_id"])
-    sizes = broadcast_if_small(vectors.groupBy("label").agg(F.count("*").cast("int").alias("n_rows")))
-
-    def value(x: Column, i: Column) -> Column:
-        ground = F.floor(x.cast("double") * 1024) / 1024
-        moved = (F.col("m") > 0) & ((vec * 31 + i * 7 + F.col("m")) % 10 < 2)
-        return (ground + F.when(moved, F.lit(1.0 / 1024)).otherwise(0.0)).cast("float")
-
-    path = work_path(spark, "params")
-    (
-        rows.join(sizes, "label")
-        .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(len(TUNED)))))
-        .select(
-            F.when(F.col("m") == 0, BASE).otherwise(F.concat(F.lit("m"), F.col("m").cast("string"))).alias("model"),
+    sizes = vectors.groupBy("label").agg(F.count("*").cast("int").alias("n_rows"))
+    sized = rows.join(sizes, "label")
+
+    def model(m: int) -> DataFrame:
+        def value(x: Column, i: Column) -> Column:
+            ground = F.floor(x.cast("double") * 1024) / 1024
+            if m == 0:
+                return ground.cast("float")
+            moved = (vec * 31 + i * 7 + m) % 10 < 2
+            return (ground + F.when(moved, F.lit(1.0 / 1024)).otherwise(0.0)).cast("float")
+
+        return sized.select(
+            F.lit(TUNED[m - 1] if m else BASE).alias("model"),
             tensor.alias("tensor"),
             F.array(F.col("n_rows"), F.size("embedding")).alias("shape"),
             "row_idx",
             F.transform("embedding", value).alias("values"),
-        )
-        .write.parquet(path)
-    )
-    return read_params(spark, path)
+        ).select(*PARAM_COLUMNS)
+
+    return reduce(DataFrame.unionAll, [model(m) for m in range(len(TUNED) + 1)])
 
 
 PARAMS_SQL = """params AS (
@@ -309,8 +311,6 @@ deltas AS (
 
 def sampled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token log probabilities: the student as trainer, the teacher as sampler."""
-    from tunelens.functions.divergence import entropy, log_softmax
-
     vec = F.col("vec_id")
     token = (vec * 7 % VOCAB).cast("int")
     return logits(spark, sf_dir).select(
@@ -318,8 +318,8 @@ def sampled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("seq_id") % 4).alias("worker"),
         "seq_id",
         "pos",
-        F.get(log_softmax(F.col("student_logits")), token).alias("logp_train"),
-        F.get(log_softmax(F.col("teacher_logits")), token).alias("logp_sampler"),
+        token_log_probability(F.col("student_logits"), token).alias("logp_train"),
+        token_log_probability(F.col("teacher_logits"), token).alias("logp_sampler"),
         (vec % 3 - 1).cast("double").alias("advantage"),
         entropy(F.col("student_logits")).alias("entropy"),
     )
@@ -346,20 +346,21 @@ GRADS_SQL = """grads AS (
 
 
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds per phase of each run: three kinds of event of a user."""
+    """Seconds per phase of each run: events of a user; further kinds keep their names."""
     names = {"click": "rollout_time", "view": "teacher_fwd_time", "purchase": "student_train_time"}
     phase = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return (
-        table(spark, sf_dir, "events")
-        .filter(F.col("event_type").isin(*names))
-        .select(F.col("user_id").alias("run_id"), phase[F.col("event_type")].alias("phase"), F.col("value").alias("seconds"))
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"),
+        F.coalesce(F.try_element_at(phase, kind), kind).alias("phase"),
+        F.col("value").alias("seconds"),
     )
 
 
 PHASES_SQL = """phases AS (
   SELECT user_id AS run_id, CASE event_type WHEN 'click' THEN 'rollout_time' WHEN 'view' THEN 'teacher_fwd_time'
-      ELSE 'student_train_time' END AS phase, value AS seconds
-  FROM events WHERE event_type IN ('click', 'view', 'purchase'))"""
+      WHEN 'purchase' THEN 'student_train_time' ELSE event_type END AS phase, value AS seconds
+  FROM events)"""
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def rounded(column: str, digits: int = 6) -> Column:
 
 
 def one_model(spark: SparkSession, sf_dir: str, model: str = "m0") -> DataFrame:
-    return a.model_responses(spark, sf_dir).filter(F.col("model") == model).drop("model")
+    return a.responses_of(spark, sf_dir, int(model.removeprefix("m"))).drop("model")
 
 
 def q_extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,8 +127,7 @@ def q_label_to_option(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_reward_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = a.chat_rows(spark, sf_dir).filter(F.col("label") != "")
-    inputs = reward_input(rows, keep=("conv_id",))
+    inputs = reward_input(a.chat_rows(spark, sf_dir), keep=("conv_id",))
     return inputs.select("conv_id", F.size("prompt").alias("n_messages"), "correct_option")
 
 
@@ -184,7 +183,7 @@ def q_correct_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_read_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = read_all(spark, f"{sf_dir}/documents*.parquet")
+    files = read_all(spark, f"{sf_dir}/{{documents,labels}}.parquet")
     name = F.element_at(F.split("file", "/"), -1)
     return files.groupBy(name.alias("file")).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("n_chars"))
 
@@ -256,7 +255,8 @@ def q_step_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = a.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    sources = [(docs.filter(F.col("lang") == "en"), 0.5), (docs.filter(F.col("lang") == "fr"), None)]
+    shares = {"en": 0.5, "fr": None, "de": 0.25, "es": 0.75}
+    sources = [(docs.filter(F.col("lang") == lang), share) for lang, share in shares.items()]
     return blend(sources, ["doc_id"], seed=SEED, cap=CAP)
 
 
@@ -346,8 +346,8 @@ SELECT split, prompt_id, sample_id, '{SYSTEM_TEXT}' AS system,
     || chr(10) || '1. Option A of ' || prompt_id || chr(10) || '2. Option B of ' || prompt_id
     || chr(10) || '3. Option C of ' || prompt_id || chr(10) || '4. Option D of ' || prompt_id) AS user_digest FROM samples""",
     "label_to_option": "SELECT doc_id, doc_id % 4 + 1 AS correct_option FROM documents",
-    "reward_input": """SELECT conv_id, count(*) AS n_messages, conv_id % 5 + 1 AS correct_option
-FROM conversations WHERE conv_id % 5 < 4 GROUP BY conv_id""",
+    "reward_input": """SELECT conv_id, count(*) AS n_messages, CASE WHEN conv_id % 5 < 4 THEN conv_id % 5 + 1 END AS correct_option
+FROM conversations GROUP BY conv_id""",
     "patch_system": f"""WITH {a.CHAT_ROWS_SQL},
 patched AS (
   SELECT c.conv_id, '<|' || c.role || '|>' || chr(10)
@@ -373,7 +373,8 @@ SELECT coalesce(source, 'all') AS file, max(n) AS max_len FROM lengths GROUP BY
 SELECT doc_id, prompt_len FROM lengths WHERE prompt_len <= 300""",
     "correct_text": f"""WITH {a.SAMPLES_SQL}
 SELECT split, prompt_id, sample_id, 'Option ' || chr(CAST(65 + correct_option AS INT)) || ' of ' || prompt_id AS correct_text FROM samples""",
-    "read_all": "SELECT 'documents.parquet' AS file, count(*) AS rows, sum(n_chars) AS n_chars FROM documents",
+    "read_all": """SELECT 'documents.parquet' AS file, count(*) AS rows, sum(n_chars) AS n_chars FROM documents
+UNION ALL SELECT 'labels.parquet', count(*), NULL FROM labels""",
     "split_files": f"""WITH {a.SAMPLES_SQL}
 SELECT split, 1 AS split_ord, prompt_id, sample_id, correct_option FROM samples WHERE split = 'test'""",
     "union_splits": f"""WITH {a.SAMPLES_SQL}
@@ -399,7 +400,11 @@ FROM placed GROUP BY pos // {BATCH}""",
     "blend_sources": f"""WITH kept AS (
   SELECT doc_id, lang, n_chars, 0 AS source_ord FROM documents
   WHERE lang = 'en' AND {key_sql(SEED, '0', 'doc_id')} < '800000000000000'
-  UNION ALL SELECT doc_id, lang, n_chars, 1 AS source_ord FROM documents WHERE lang = 'fr')
+  UNION ALL SELECT doc_id, lang, n_chars, 1 AS source_ord FROM documents WHERE lang = 'fr'
+  UNION ALL SELECT doc_id, lang, n_chars, 2 AS source_ord FROM documents
+  WHERE lang = 'de' AND {key_sql(SEED, '2', 'doc_id')} < '400000000000000'
+  UNION ALL SELECT doc_id, lang, n_chars, 3 AS source_ord FROM documents
+  WHERE lang = 'es' AND {key_sql(SEED, '3', 'doc_id')} < 'c00000000000000')
 SELECT doc_id, lang, n_chars, source_ord FROM kept
 ORDER BY {key_sql(SEED + 1, 'source_ord', 'doc_id')}, source_ord, doc_id LIMIT {CAP}""",
 }

@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder for cut lineage, and checked broadcasts."""
+"""Session helpers: the shared folder for cut lineage."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A broadcast side is collected on the driver and copied to every executor.
-BROADCAST_ROWS = 1_000_000
+_NAMED: list[str] = []  # paths given out in this process
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, kept until ``clean_work``."""
+    _NAMED.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -46,11 +45,8 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side stays a shuffled join.
-
-    Meant for narrow summaries of materialised data, where the count is cheap.
-    """
-    if df.limit(max_rows + 1).count() > max_rows:
-        return df
-    return F.broadcast(df)
+def clean_work(spark: SparkSession) -> None:
+    """Delete what ``work_path`` named in this session; call it when results have been written."""
+    while _NAMED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_NAMED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

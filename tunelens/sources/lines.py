@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tunelens.session import broadcast_if_small, materialise
+from tunelens.session import materialise
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,6 +36,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     place = F.col("__row") - F.col("__first")
     moved = F.raise_error(F.lit("file splits moved between reads; set spark.sql.files.minPartitionNum"))
     number = F.when((place >= 0) & (place < F.col("__size")), F.col("__start") + place).otherwise(moved.cast("long"))
-    return lines.join(broadcast_if_small(starts), ["file", "block"], "left").select(
+    return lines.join(starts, ["file", "block"], "left").select(
         "file", number.alias("line_no"), "value"
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tunelens.functions.vectors import GRADIENT_THRESHOLD
-from tunelens.operators.gradients import grad_aggregates
 
 LATENESS = "1 hour"
 
@@ -18,16 +17,21 @@ def streaming_metrics(
     lateness: str = LATENESS,
     threshold: float = GRADIENT_THRESHOLD,
 ) -> DataFrame:
-    """Norm and near-zero share per (step, parameter) of a stream.
+    """Sums for the norm and near-zero share per (step, parameter) of a stream.
 
-    All gradients of a step carry the step's time, so grouping by it as well
-    changes no result and lets the watermark drop the state of finished steps.
+    Sums are kept per arrival time as well, which lets the watermark drop the
+    state of finished steps; ``latest_metrics`` adds up the arrival times of a step.
     """
+    grad = F.col("grad")
     return (
-        grads.filter(F.col("grad").isNotNull())
+        grads.filter(grad.isNotNull())
         .withWatermark(arrival, lateness)
-        .groupBy(arrival, "step", "name")
-        .agg(*grad_aggregates(threshold), F.count("*").alias("entries"))
+        .groupBy(F.col(arrival).alias("arrived"), "step", "name")
+        .agg(
+            F.sum(grad * grad).alias("squares"),
+            F.sum((F.abs(grad) < threshold).cast("long")).alias("near_zero"),
+            F.count("*").alias("entries"),
+        )
     )
 
 
@@ -51,11 +55,16 @@ def start_metrics(metrics: DataFrame, table: str, checkpoint: str) -> StreamingQ
 
 
 def latest_metrics(spark: SparkSession, table: str) -> DataFrame:
-    """The newest update of every (step, parameter)."""
-    values = F.struct("grad_norm", "grad_sparsity", "entries")
-    return (
+    """Norm and near-zero share of every (step, parameter), from the newest update of each arrival time."""
+    values = F.struct("squares", "near_zero", "entries")
+    newest = (
         spark.read.parquet(table)
-        .groupBy("step", "name")
+        .groupBy("arrived", "step", "name")
         .agg(F.max_by(values, "batch_id").alias("newest"))
         .select("step", "name", "newest.*")
     )
+    return newest.groupBy("step", "name").agg(
+        F.sqrt(F.sum("squares")).alias("grad_norm"),
+        (F.sum("near_zero") / F.sum("entries")).alias("grad_sparsity"),
+        F.sum("entries").alias("entries"),
+    )
