@@ -187,7 +187,8 @@ def fit(
         .withColumn("place", rank)
         .filter(F.col("place") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams))
         .select("lang", "size", "code", "n", "total")
-        .toPandas()
+        .toArrow()
+        .to_pandas()
     )
     languages = sorted(kept["lang"].unique())
     tables = {}
