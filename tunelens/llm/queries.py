@@ -56,11 +56,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = suffix_pieces.Pieces()
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", suffix_pieces.encoded(F.col("text"), pieces).alias("ids")
-    )
-    back = suffix_pieces.decoded(F.col("ids"), pieces)
-    return rows.select("doc_id", F.size("ids").alias("n_pieces"), "ids", back.eqNullSafe(F.col("text")).alias("same"))
+    rows = suffix_pieces.encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    return rows.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "same")
 
 
 def op7_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunelens.llm.tokens import chunks, span_codes, text_bytes
 
@@ -36,9 +37,9 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MARK = np.frombuffer(SPACE.encode(), np.uint8)
 APART = 0xFF  # never a byte of UTF-8, so no piece runs over it
-CHUNK = 3_000_000
-WORDS_CHUNK = 400_000  # bytes of new words indexed at once
-MEMORY = 1_000_000  # words a task remembers before it starts afresh
+CHUNK = 1_000_000
+WORDS_CHUNK = 150_000  # bytes of new words indexed at once
+MEMORY = 600_000  # words a task remembers before it starts afresh
 START, BYTES = -1, -2  # before the first piece; a character told in bytes
 
 
@@ -461,6 +462,31 @@ def decode(pieces: Pieces, ids: pa.Array) -> pa.Array:
     return pc.if_else(missing, pa.scalar(None, pa.large_string()), texts).cast(pa.string())
 
 
+def encode_table(documents: DataFrame, pieces: Pieces) -> DataFrame:
+    """All input columns but ``text``, with ``ids`` and whether decoding them gave the text back.
+
+    Rows leave a task as soon as some megabyte of text is encoded, so whole batches never pile up.
+    """
+    kept = [f for f in documents.schema.fields if f.name != "text"]
+    inputs = documents.columns
+    place = inputs.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(pieces)
+        for batch in batches:
+            for p in chunks(batch.column(place), CHUNK):
+                some = batch.slice(p.start, p.stop - p.start)
+                text = some.column(place).cast(pa.string())
+                ids = encoder.encode(text)
+                same = pc.fill_null(pc.equal(decode(pieces, ids), text), pc.is_null(text))
+                columns = [some.column(i) for i, name in enumerate(inputs) if name != "text"]
+                names = [name for name in inputs if name != "text"] + ["ids", "same"]
+                yield pa.RecordBatch.from_arrays([*columns, ids, same], names=names)
+
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
+    return documents.mapInArrow(rows, schema)
+
+
 def encoded(text: Column, pieces: Pieces) -> Column:
     """Piece ids of a text column."""
 
