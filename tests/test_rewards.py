@@ -5,8 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tunelens.functions.rewards import REWARDS, trigram_uniqueness, words
-from tunelens.functions.common import let
+from tunelens.functions.rewards import REWARDS, trigram_share, words
 from tunelens.functions.text import extract_answer
 from tunelens.operators.reward_table import advantage, debug_first, total_reward, with_rewards
 
@@ -77,7 +76,7 @@ def test_counts_agree_with_python(spark, texts):
 
 def test_trigram_share(spark):
     df = spark.createDataFrame([("a b c a b c a b c d",)], "c string")
-    share = df.select(let(words(F.col("c")), trigram_uniqueness)).first()[0]
+    share = df.select(trigram_share(words(F.col("c")))).first()[0]
     assert share == pytest.approx(4 / 8)
 
 

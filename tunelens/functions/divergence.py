@@ -66,17 +66,17 @@ class Rows:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=mask)
 
 
-def _in_slices(kernel: Callable[..., pa.Array], *arrays: pa.Array) -> pa.Array:
+def _in_slices(compute: Callable[..., pa.Array], *arrays: pa.Array) -> pa.Array:
     """Run a kernel over runs of whole rows of about ``SLICE_CELLS`` cells."""
     count = len(arrays[0])
     cells = pc.sum(pc.list_value_length(arrays[0])).as_py() or 0
     rows = max(1, count * SLICE_CELLS // max(cells, 1))
     if rows >= count:
-        return kernel(*arrays)
-    return pa.concat_arrays([kernel(*[a.slice(at, rows) for a in arrays]) for at in range(0, count, rows)])
+        return compute(*arrays)
+    return pa.concat_arrays([compute(*[a.slice(at, rows) for a in arrays]) for at in range(0, count, rows)])
 
 
-def _kernel(returns: str, compute: Callable[..., pa.Array], *columns: Column) -> Column:
+def kernel(returns: str, compute: Callable[..., pa.Array], *columns: Column) -> Column:
     """Apply an Arrow function over list columns."""
 
     def one(array: pa.Array) -> pa.Array:
@@ -122,7 +122,7 @@ def log_softmax(logits: Column, temperature: float = TEMPERATURE) -> Column:
         rows = Rows(array)
         return rows.lists(rows.log_softmax(temperature), array)
 
-    return _kernel("array<double>", compute, logits)
+    return kernel("array<double>", compute, logits)
 
 
 def token_log_probability(logits: Column, token: Column, temperature: float = TEMPERATURE) -> Column:
@@ -140,7 +140,7 @@ def token_log_probability(logits: Column, token: Column, temperature: float = TE
         out[inside] = rows.log_softmax(temperature)[at]
         return pa.array(out, mask=~inside)
 
-    return _kernel("double", compute, logits, token)
+    return kernel("double", compute, logits, token)
 
 
 def softmax(logits: Column, temperature: float = TEMPERATURE) -> Column:
@@ -148,7 +148,7 @@ def softmax(logits: Column, temperature: float = TEMPERATURE) -> Column:
         rows = Rows(array)
         return rows.lists(np.exp(rows.log_softmax(temperature)), array)
 
-    return _kernel("array<double>", compute, logits)
+    return kernel("array<double>", compute, logits)
 
 
 def log_mixture(log_teacher: Column, log_student: Column, beta: float = JSD_BETA) -> Column:
@@ -158,7 +158,7 @@ def log_mixture(log_teacher: Column, log_student: Column, beta: float = JSD_BETA
         right, left = _pair(teacher, student)
         return left.lists(_log_mix(right.flat, left.flat, beta), student)
 
-    return _kernel("array<double>", compute, log_teacher, log_student)
+    return kernel("array<double>", compute, log_teacher, log_student)
 
 
 def pointwise_jsd(
@@ -176,7 +176,7 @@ def pointwise_jsd(
         rows, terms = _jsd_terms(left, right, beta, clip, temperature, masked)
         return rows.lists(terms, left)
 
-    return _kernel("array<double>", compute, student, teacher)
+    return kernel("array<double>", compute, student, teacher)
 
 
 def jsd(
@@ -194,7 +194,7 @@ def jsd(
         rows, terms = _jsd_terms(left, right, beta, clip, temperature, masked)
         return rows.totals(terms)
 
-    return _kernel("double", compute, student, teacher)
+    return kernel("double", compute, student, teacher)
 
 
 def reverse_kl(
@@ -216,7 +216,7 @@ def reverse_kl(
             terms[np.isin(rows.positions(), masked)] = 0.0
         return rows.totals(terms)
 
-    return _kernel("double", compute, student, teacher)
+    return kernel("double", compute, student, teacher)
 
 
 def entropy(logits: Column, temperature: float = TEMPERATURE) -> Column:
@@ -227,7 +227,7 @@ def entropy(logits: Column, temperature: float = TEMPERATURE) -> Column:
         logs = rows.log_softmax(temperature)
         return rows.totals(-np.exp(logs) * logs)
 
-    return _kernel("double", compute, logits)
+    return kernel("double", compute, logits)
 
 
 def mask_vocab(terms: Column, mask_ids: Sequence[int]) -> Column:

@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tunelens.functions.common import let
+from tunelens.functions.divergence import kernel
 from tunelens.functions.text import (
     ANSWER_MARK,
     DIGIT_CLASS,
@@ -107,44 +111,35 @@ def reasoning_quality(response: Column, key: Column | None = None) -> Column:
     return _present(response, score)
 
 
-def _distinct_share(tokens: Column, key: Callable[..., Column]) -> Column:
-    """Distinct keys over all trigrams; ``tokens`` has to be a bound variable."""
-    count = F.size(tokens) - 2
-    keys = F.transform(
-        F.slice(tokens, F.lit(1), count),
-        lambda word, i: key(word, F.get(tokens, i + 1), F.get(tokens, i + 2)),
-    )
-    return F.size(F.array_distinct(keys)) / count
-
-
-def trigram_uniqueness(tokens: Column) -> Column:
-    """Distinct share of word trigrams.
+def trigram_share(tokens: Column) -> Column:
+    """Distinct word trigrams over all trigrams of a list of words; null for fewer than three words.
 
-    Words hold no space, so three joined by a space are a collision-free key, and
-    distinct over strings hashes where distinct over structs compares pairs.
+    Exact: words become ids of their batch, pairs and triples of ids become ids
+    in turn, and the triples of a row are counted once.
     """
-    return _distinct_share(tokens, lambda a, b, c: F.concat(a, F.lit(" "), b, F.lit(" "), c))
 
+    def compute(array: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = array.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        whole = np.flatnonzero(row[:-2] == row[2:])
+        triples, size = word[whole], int(word.max(initial=0)) + 1
+        for ahead in (1, 2):
+            triples = np.unique(triples * size + word[whole + ahead], return_inverse=True)[1]
+        several = int(triples.max(initial=0)) + 1
+        distinct = np.unique(row[whole] * several + triples) // several
+        share = np.bincount(distinct, minlength=len(lengths)) / np.maximum(lengths - 2, 1)
+        return pa.array(share, mask=lengths < 3)
 
-def trigram_uniqueness_floor(tokens: Column) -> Column:
-    """The same over 64-bit hashes: cheaper, and never above the true share."""
-    return _distinct_share(tokens, F.xxhash64)
+    return kernel("double", compute, tokens)
 
 
 def no_repetition(response: Column, key: Column | None = None) -> Column:
-    """Hash collisions can only lower a share, so a hashed share past the top
-    bound settles the score; only repetitive texts need the exact keys."""
-    top_bound, top_score = REPETITION_SCORES[0]
-
-    def score(tokens: Column) -> Column:
-        exact = _tiered(trigram_uniqueness(tokens), REPETITION_SCORES, REPETITION_PENALTY, exclusive=True)
-        return (
-            F.when(F.size(tokens) < REPETITION_MIN_WORDS, F.lit(0.0))
-            .when(trigram_uniqueness_floor(tokens) > top_bound, top_score)
-            .otherwise(exact)
-        )
-
-    return _present(response, let(words(response), score))
+    tokens = words(response)
+    score = F.when(F.size(tokens) < REPETITION_MIN_WORDS, F.lit(0.0)).otherwise(
+        _tiered(trigram_share(tokens), REPETITION_SCORES, REPETITION_PENALTY, exclusive=True)
+    )
+    return _present(response, score)
 
 
 # Named rewards in their configured order; callers may pass their own mapping.
