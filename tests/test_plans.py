@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from tunelens.plans.registry import QUERIES
 from tunelens.plans import adapters as a
 from tunelens.plans.evaluation_queries import KEYS
 from tunelens.operators.evaluation import scorecard
@@ -12,10 +12,11 @@ from tunelens.operators.gradients import grad_metrics
 from tunelens.operators.reward_table import total_reward, with_rewards
 from tests.oracle import rows_of
 
-# Divergences run as Arrow kernels and ranks as grouped numpy; everything else stays in the JVM.
+# Divergences and trigrams run as Arrow kernels and ranks as grouped numpy; everything else stays in the JVM.
 PYTHON_STAGES = {
     "log_softmax", "log_mixture", "pointwise_jsd", "position_jsd", "divergence_loss", "divergence_loss_clipped",
     "divergence_loss_unclipped", "reverse_kl", "token_entropy", "sampling_rollup", "delta_rank",
+    "rewards_documents", "rewards_completions",
 }
 
 
@@ -23,7 +24,7 @@ PYTHON_STAGES = {
 def plans(spark):
     return {
         name: query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-        for name, query in queries().items()
+        for name, query in QUERIES.items()
     }
 
 
