@@ -10,6 +10,7 @@ from tunelens.llm.tables import without
 from tunelens.session import materialise
 
 MIN_LANGUAGE_SCORE = 0.35  # a text that fits no language clearly better than chance is rejected
+NEAR_PERCENT = 80  # shared part of two documents' five-word shingles from which one is a near copy
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
-    judged = materialise(minhash_dedup.near_duplicates(docs).filter("not kept").select("doc_id"))
+    judged = materialise(minhash_dedup.near_duplicates(docs, NEAR_PERCENT).filter("not kept").select("doc_id"))
     return without(docs, judged, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

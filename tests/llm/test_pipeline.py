@@ -62,3 +62,28 @@ def test_awkward_documents(spark, tmp_path, sf_dir):
             assert after.columns == docs.columns
             docs = after
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()
+
+
+def test_near_copies_from_eighty_percent(spark, sf_dir):
+    base = [f"w{i}" for i in range(104)]
+    two, three = list(base), list(base)
+    for place, own in ((30, two), (60, two), (20, three), (50, three), (80, three)):
+        own[place] = "other"
+    texts = {1: base, 2: two, 3: three}
+    sets = {i: shingles(" ".join(t)) for i, t in texts.items()}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= share(1, 2) < 0.85 and max(share(1, 3), share(2, 3)) < 0.8
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == {1, 3}
+
+
+def test_near_stage_at_eighty_percent(stages):
+    _, before, after = next(s for s in stages if s[0] == "minhash_dedup")
+    sets = {r.doc_id: shingles(r.text) for r in before.collect()}
+    shared = {}
+    for i, s in sets.items():
+        for x in s:
+            shared.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in shared.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    root = roots([(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert {r.doc_id for r in after.collect()} == {i for i in sets if root.get(i, i) == i}

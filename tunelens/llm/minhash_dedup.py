@@ -12,7 +12,7 @@ dealt into blocks of bounded size, are compared block by block inside tasks: ske
 full sets, and only links leave the task. So a group of near copies costs about one pair for each
 node where its smallest node links it, no list of all pairs is ever made, and no link between
 components is lost: a pair at the threshold shares no band with probability (1 - 0.85**4)**32, about
-6e-11, and is ruled out by its sketches with a probability below 1e-8.
+6e-11 (at 0.8 about 5e-8), and is ruled out by its sketches with probability 6e-10 (at 0.8, 2.2e-8).
 
 Scale: texts are read once for signatures; only texts of candidates (about those: whose hashed id is
 among at most 2**20 broadcast values) are shuffled for confirmation. Joins on buckets and components
@@ -44,9 +44,7 @@ BANDS = 32
 ROWS = 4
 SKETCH_WORDS = 8  # 64-bit words of an odd sketch
 THRESHOLD_PERCENT = 85
-SKETCH_FLOOR = 0.6  # similarity by sketch below which a pair is ruled out; six deviations under 0.85
-# Ones in the XOR of two sketches that mean that similarity.
-MAX_ONES = int(SKETCH_WORDS * 32 * (1 - np.exp(-4 * BANDS * ROWS * (1 - SKETCH_FLOOR) / (SKETCH_WORDS * 64))))
+SKETCH_MARGIN = 0.25  # so far under the threshold, by sketch, a pair is ruled out
 
 BLOCK_NODES = 512  # about so many nodes, or so many shingles if they are more, make a block
 BLOCK_SHINGLES = 2_000_000
@@ -139,6 +137,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["doc_id", "codes"])
 
 
+def max_ones(percent: int) -> int:
+    """Ones in the XOR of two sketches that mean a similarity SKETCH_MARGIN under the threshold."""
+    differing = BANDS * ROWS * (1 - percent / 100 + SKETCH_MARGIN)
+    return int(SKETCH_WORDS * 32 * (1 - np.exp(-4 * differing / (SKETCH_WORDS * 64))))
+
+
 def sketch_ones(a: Column, b: Column) -> Column:
     """Ones in the XOR of two odd sketches: the more, the fewer samples agree."""
     return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_WORDS)), F.lit(0))
@@ -173,7 +177,7 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     for i in range(SKETCH_WORDS):
         ones += np.bitwise_count(sketch[upper, i][:, None] ^ sketch[lower, i][None, :])
     sizes = rows["codes"].map(len).to_numpy()
-    open_ = (ones <= MAX_ONES) & (part[upper][:, None] != part[lower][None, :])
+    open_ = (ones <= max_ones(percent)) & (part[upper][:, None] != part[lower][None, :])
     if block[0] == block[-1]:
         open_ &= upper[:, None] < lower[None, :]
     upper, lower, open_ = upper[open_.any(1)], lower[open_.any(0)], open_[open_.any(1)][:, open_.any(0)]
@@ -266,7 +270,7 @@ def near_duplicates(documents: DataFrame, percent: int = THRESHOLD_PERCENT) -> D
     )
     rest = members.filter(F.col("node") > F.col("first"))
     stars = rest.join(heads, "band").filter(
-        sketch_ones(F.col("sketch_a"), F.col("sketch")) <= MAX_ONES
+        sketch_ones(F.col("sketch_a"), F.col("sketch")) <= max_ones(percent)
     )
     pairs = materialise(stars.select("a", F.col("node").alias("b")).distinct())
     links = materialise(_confirmed(pairs, documents, percent))
