@@ -174,6 +174,22 @@ def test_scores_beat_the_base_on_held_out_text(spark, sf_dir):
     assert held[0] > 0.97 * held[1]
 
 
+def test_contexts_are_counted_over_all_training_documents(spark):
+    """Also over those that the starting weights are fitted on."""
+    import numpy as np
+    import pyarrow as pa
+
+    part = lambda i: zlib.crc32(str(i).encode()) % 10
+    rows = [(i, f"a b c d{part(i)} e{i % 3}") for i in range(300) if part(i) in (1, 9)]
+    training = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = context_mixing.fit(training, context_mixing.word_counts(training.select("text")))
+    batch = pa.record_batch([pa.array([t for _, t in rows])], names=["text"])
+    found, weights = (model.odds.copy(), model.level.copy()), model.weights
+    model.learn(np.arange(model.slots()), *context_mixing._counted(model, [batch]))
+    assert np.allclose(found[0], model.odds) and (found[1] == model.level).all() and model.level.any()
+    assert not np.allclose(weights, 0.3)
+
+
 def test_scores_of_little(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert context_mixing.score(empty).count() == 0
