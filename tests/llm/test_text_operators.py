@@ -169,6 +169,38 @@ def test_licences_against_brute_force(spark, awkward):
     assert license_scan.scan(awkward.limit(0)).count() == 0
 
 
+def test_licences_are_told_from_their_neighbours():
+    import pyarrow as pa
+
+    gnu, bsd = license_scan.GNU_HEADER, license_scan.BSD_CLAUSES
+    third = (
+        " 3. Neither the name of Some Body nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."
+    )
+    disclaimer = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'
+    texts = {
+        gnu.format("program", "General", "2"): "gpl-2.0",
+        gnu.format("program", "General", "3"): "gpl-3.0",
+        gnu.format("library", "Library General", "2"): "lgpl-2.0",
+        gnu.format("library", "Lesser General", "2.1"): "lgpl-2.1",
+        gnu.format("program", "Lesser General", "2.1"): "lgpl-2.1",
+        gnu.format("program", "Lesser General", "3"): "lgpl-3.0",
+        gnu.format("program", "Affero General", "3"): "agpl-3.0",
+        bsd + disclaimer: "bsd-2-clause",
+        bsd + third + disclaimer: "bsd-3-clause",
+        "licensed under the GNU General Public License, version 2": "gpl-2.0",
+        "licensed under the GNU Lesser General Public License, version 3": "lgpl-3.0",
+        "Licensed under CC BY-SA 4.0": "cc-by-sa-4.0",
+        "Licensed under the BSD 3-Clause License": "bsd-3-clause",
+        "Licensed under CC0 1.0": "cc0-1.0",
+    }
+    for text, row in zip(texts, license_scan.Scanner().scan(pa.array([f"x {t} y" for t in texts])), strict=True):
+        assert [s["label"] for s in row["spans"]] == [texts[text]], text
+    both = f"{gnu.format('program', 'General', '2')} some words {bsd} All rights reserved"
+    (row,) = license_scan.Scanner().scan(pa.array([both]))
+    assert {s["label"] for s in row["spans"]} == {"gpl-2.0", "bsd-2-clause", "all-rights-reserved"}
+
+
 def test_licence_matching_statistics():
     automaton = license_scan.Automaton([[1, 2, 3, 4], [2, 3, 5], [3, 4, 3, 4, 6]])
     sequences = [[1, 2, 3, 4], [2, 3, 5], [3, 4, 3, 4, 6]]

@@ -2,9 +2,10 @@
 
 The words of all notices and of the fixed base phrases go into one generalised suffix automaton.
 A text is streamed through it: at each word the automaton gives the longest run of words ending
-there that occurs in some notice. Runs that cannot grow are matches; matches of one notice that
+there that occurs in some notice. Runs that cannot grow in a notice are its matches; matches of one notice that
 keep their order, in the text as in the notice, are chained into spans, and a span that covers
-enough of the notice gives its label. Base phrases are read off the suffix links of the states
+enough of the notice, its telling words among them, gives its label. Of spans that hold
+mostly the same words the one that holds most stays. Base phrases are read off the suffix links of the states
 passed, so every place of every phrase is found.
 
 The notices are a fixed list, so the automaton that tasks receive does not grow with the input;
@@ -37,6 +38,21 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
+BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution."
+)
+GNU_HEADER = (
+    "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} Public "
+    "License as published by the Free Software Foundation; either version {2} of the License, or (at your option) "
+    "any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} "
+    "Public License for more details."
+)
+
 # Notices as their licences word them, by SPDX label.
 NOTICES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -80,14 +96,7 @@ NOTICES = (
     ("cc-by-sa-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    (
-        "bsd-3-clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
-        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
-        "materials provided with the distribution.",
-    ),
+    ("bsd-2-clause", BSD_CLAUSES),
     (
         "mpl-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
@@ -105,8 +114,61 @@ NOTICES = (
         "for any purpose, commercial or non-commercial, and by any means.",
     ),
     ("all-rights-reserved", "All rights reserved"),
+    ("gpl-2.0", GNU_HEADER.format("program", "General", "2")),
+    ("lgpl-2.0", GNU_HEADER.format("library", "Library General", "2")),
+    ("lgpl-2.1", GNU_HEADER.format("library", "Lesser General", "2.1")),
+    ("lgpl-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("lgpl-3.0", GNU_HEADER.format("program", "Lesser General", "3")),
+    ("lgpl-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("agpl-3.0", GNU_HEADER.format("program", "Affero General", "3")),
+    ("agpl-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    (
+        "bsd-3-clause",
+        BSD_CLAUSES + " Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "bsd-4-clause",
+        BSD_CLAUSES + " All advertising materials mentioning features or use of this software must display the "
+        "following acknowledgement: This product includes software developed by the copyright holder. Neither the name "
+        "of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission.",
+    ),
+    ("bsd-2-clause", "Licensed under the BSD 2-Clause License"),
+    ("bsd-3-clause", "Licensed under the BSD 3-Clause License"),
+    (
+        "cc0-1.0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+        "rights to this software to the public domain worldwide. This software is distributed without any warranty. "
+        "You should have received a copy of the CC0 Public Domain Dedication along with this software.",
+    ),
+    ("cc0-1.0", "Licensed under CC0 1.0"),
+    (
+        "0bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted. THE SOFTWARE IS PROVIDED",
+    ),
 )
 
+# Words that tell a licence from its neighbours. A span must hold those that its notice holds.
+TELLING = {
+    "apache-2.0": ("version 2 0",),
+    "gpl-2.0": ("gnu general public", "version 2"),
+    "gpl-3.0": ("gnu general public", "version 3"),
+    "lgpl-2.0": ("gnu library general public", "version 2"),
+    "lgpl-2.1": ("gnu lesser general public", "version 2 1"),
+    "lgpl-3.0": ("gnu lesser general public", "version 3"),
+    "agpl-3.0": ("gnu affero general public", "version 3"),
+    "cc-by-4.0": ("by 4 0", "attribution 4 0"),
+    "cc-by-sa-4.0": ("by sa 4 0", "attribution sharealike 4 0"),
+    "cc-by-nc-4.0": ("by nc 4 0", "attribution noncommercial 4 0"),
+    "bsd-2-clause": ("bsd 2 clause",),
+    "bsd-3-clause": ("neither the name", "bsd 3 clause"),
+    "bsd-4-clause": ("all advertising materials",),
+    "cc0-1.0": ("cc0",),
+    "0bsd": ("hereby granted the software is provided",),
+}
+
 MIN_MATCH = 3  # words of a match that may be chained
 MAX_GAP = 20  # words between two matches of a chain, in the text or in the notice
 MIN_COVER = 0.8  # share of a notice's words that a span must hold
@@ -198,6 +260,14 @@ class Scanner:
         self.phrases = list(phrases.values())
         texts = [notice_words(text) for _, text in notices] + [p.split(" ") for p in phrases]
         self.min_cover = min_cover
+        self.telling = [
+            [
+                [word_code(w) for w in phrase.split(" ")]
+                for phrase in TELLING.get(label, ())
+                if f" {phrase} " in f" {' '.join(own)} "
+            ]
+            for label, own in zip(self.labels, texts, strict=False)
+        ]
         vocabulary = sorted({w for words in texts for w in words})
         ids = {w: i for i, w in enumerate(vocabulary)}
         sequences = [[ids[w] for w in words] for words in texts]
@@ -220,7 +290,16 @@ class Scanner:
                 if number >= n_notices and end == self.sizes[number] - 1 and shorter < end + 1 <= self.automaton.longest[state]
             }
             self.whole[state] = sorted(own.union(self.whole[self.automaton.link[state]]))
-        self.notice_places = [[(n, e) for n, e in sorted(places) if n < n_notices] for places in self.automaton.places]
+        # Where each notice holds a state's runs or, if it holds only their ends, so many last words of them;
+        # and the token that goes on there.
+        following = [[*sequence[1:], -1] for sequence in sequences]
+        self.notice_places: list[list[tuple[int, int, int, int]]] = [[] for _ in self.automaton.link]
+        for state in sorted(range(1, len(self.whole)), key=lambda s: self.automaton.longest[s]):
+            longest, link = self.automaton.longest[state], self.automaton.link[state]
+            own = [(n, e) for n, e in sorted(self.automaton.places[state]) if n < n_notices]
+            self.notice_places[state] = [(n, e, longest, following[n][e]) for n, e in own if longest >= MIN_MATCH]
+            known = set(own)
+            self.notice_places[state] += [p for p in self.notice_places[link] if p[:2] not in known]
 
     def stretches(self, words: Words) -> Iterator[tuple[int, np.ndarray]]:
         """First word and token ids of every maximal stretch whose neighbouring pairs are known."""
@@ -244,26 +323,45 @@ class Scanner:
         for first, tokens in self.stretches(words):
             row = int(np.searchsorted(words.first_word, first, side="right")) - 1
             base = first - int(words.first_word[row])
-            states = [*self.automaton.stream(tokens.tolist()), (0, 0)]
-            for i, (state, length) in enumerate(states[:-1]):
+            after = [*tokens[1:].tolist(), -1]
+            for i, (state, length) in enumerate(self.automaton.stream(tokens.tolist())):
                 for phrase, size in self.whole[state]:
                     if length >= size:
                         hits[row].append((phrase, base + i - size + 1))
-                if length >= MIN_MATCH and states[i + 1][1] <= length:
-                    for number, end in self.notice_places[state]:
-                        matches[row][number].append((base + i - length + 1, end - length + 1, length))
-        return [self._result(int(n), hits.get(row, []), matches.get(row, {})) for row, n in enumerate(words.counts)]
-
-    def _result(self, n_words: int, hits: list[tuple[int, int]], matches: dict) -> dict:
-        spans = [
-            {"label": self.labels[number], "first_word": first, "last_word": last, "cover": cover}
-            for number, found in sorted(matches.items())
-            for first, last, cover in chained(found, self.sizes[number], self.min_cover)
+                if length >= MIN_MATCH:
+                    for number, end, longest, follows in self.notice_places[state]:
+                        if follows < 0 or follows != after[i]:
+                            own = min(length, longest)
+                            matches[row][number].append((base + i - own + 1, end - own + 1, own))
+        codes, first_word = words.codes(), words.first_word
+        return [
+            self._result(codes[first_word[row] : first_word[row] + n], hits.get(row, []), matches.get(row, {}))
+            for row, n in enumerate(words.counts)
         ]
+
+    def _spans(self, codes: np.ndarray, matches: dict) -> list[dict]:
+        """Spans with their telling words; of those that hold mostly the same words, the one with most."""
+        found = [
+            (len(held), cover, first, last, self.labels[number], held)
+            for number, runs in sorted(matches.items())
+            for first, last, cover, held in chained(runs, self.sizes[number], self.min_cover)
+            if all(holds(codes[first : last + 1].tolist(), phrase) for phrase in self.telling[number])
+        ]
+        kept: list[tuple] = []
+        for span in sorted(found, key=lambda s: (-s[0], -s[1], *s[2:5])):
+            if not any(2 * len(k[5] & span[5]) > span[0] for k in kept):
+                kept.append(span)
+        return [
+            {"label": label, "first_word": first, "last_word": last, "cover": cover}
+            for _, cover, first, last, label, _ in kept
+        ]
+
+    def _result(self, codes: np.ndarray, hits: list[tuple[int, int]], matches: dict) -> dict:
+        spans = self._spans(codes, matches) if matches else []
         base = sorted({self.phrases[p] for p, _ in hits})
         places = [at for _, at in hits]
         return {
-            "n_words": n_words,
+            "n_words": len(codes),
             "n_base": len(hits),
             "first_word": min(places, default=None),
             "last_word": max(places, default=None),
@@ -274,8 +372,12 @@ class Scanner:
         }
 
 
-def chained(found: list[tuple[int, int, int]], size: int, least: float) -> list[tuple[int, int, float]]:
-    """Spans (first word, last word, cover) of chains that hold at least that share of a notice.
+def holds(codes: list[int], phrase: list[int]) -> bool:
+    return any(codes[i : i + len(phrase)] == phrase for i in range(len(codes) - len(phrase) + 1))
+
+
+def chained(found: list[tuple[int, int, int]], size: int, least: float) -> list[tuple[int, int, float, set[int]]]:
+    """Spans (first word, last word, cover, places of the words held) of chains that hold at least that share of a notice.
 
     ``found`` has (place in the text, place in the notice, words) in the order of the text. Each
     match joins the best chain that ends at most MAX_GAP words before it, in both orders; words
@@ -302,7 +404,8 @@ def chained(found: list[tuple[int, int, int]], size: int, least: float) -> list[
             path.append(k)
             k = best[k][1]
         if k < 0:  # no part of it belongs to a better chain
-            spans.append((ordered[path[-1]][0], ordered[i][0] + ordered[i][2] - 1, min(1.0, best[i][0] / size)))
+            held = {at for m in path for at in range(ordered[m][0], ordered[m][0] + ordered[m][2])}
+            spans.append((ordered[path[-1]][0], ordered[i][0] + ordered[i][2] - 1, min(1.0, best[i][0] / size), held))
         used.update(path)
     return spans
 
