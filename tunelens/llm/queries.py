@@ -13,6 +13,7 @@ from tunelens.llm import (
     line_dedup,
     minhash_dedup,
     packing,
+    periodic_runs,
     sharding,
     suffix_pieces,
 )
@@ -77,6 +78,46 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def planted_periods(documents: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth text by hash becomes periodic from one of its words on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
+    rows = documents.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), g.alias("g"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    rows = rows.withColumn("n", n).withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+    copies = F.flatten(F.array_repeat(F.expr("slice(words, a + 1, p)"), F.expr("cast(ceil((n - a) / p) as int)")))
+    changed = F.concat(F.expr("slice(words, 1, a)"), F.slice(copies, 1, F.expr("n - a")))
+    text = F.when(F.col("words").isNotNull() & (F.col("n") > 0), F.array_join(changed, " "))
+    return rows.select("doc_id", F.coalesce(text, "text").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planted_periods(table(spark, sf_dir, "documents"))
+    found = periodic_runs.find_runs(rows)
+    # Greatest exact length / period first; runs come by start, then period.
+    exponent = lambda x, y: y["length"] * x["period"] - x["length"] * y["period"]
+    order = lambda x, y: F.coalesce(
+        *[F.nullif(F.signum(d), F.lit(0.0)) for d in (exponent(x, y), x["start"] - y["start"], x["period"] - y["period"])],
+        F.lit(0.0),
+    ).cast("int")
+    best = F.get(F.array_sort("runs", order), 0)
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), "")
+    digest = lambda text: F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
+        digest(lines).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -88,5 +129,6 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {}
