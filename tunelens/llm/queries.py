@@ -16,6 +16,7 @@ from tunelens.llm import (
     periodic_runs,
     sharding,
     suffix_pieces,
+    token_alignment,
 )
 from tunelens.llm.quality_rules import score_documents
 
@@ -118,6 +119,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"), show=token_alignment.as_digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -130,5 +136,6 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLES: dict[str, str] = {}
