@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelens.llm import (
+    chat_windows,
     context_mixing,
     embedding_dedup,
     language_id,
     license_scan,
     line_dedup,
     minhash_dedup,
+    oracles,
     packing,
     periodic_runs,
     sharding,
@@ -124,6 +126,16 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+SAID = "</s>[INST] ok [/INST]"  # a text that is nothing but control strings, as conversation -1
+
+
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role")
+    more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), roles).withColumn("text", F.lit(SAID))
+    return chat_windows.digest(chat_windows.format_conversations(rows.unionByName(more)))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -137,5 +149,6 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_token_alignment": op12_token_alignment,
+    "op13_chat_windows": op13_chat_windows,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
