@@ -47,7 +47,8 @@ def test_decisions(stages):
         for x in s:
             shared.setdefault(x, []).append(i)
     pairs = {(a, b) for ids in shared.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
-    root = roots([(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= corpus_pipeline.NEAR_PERCENT * len(sets[a] | sets[b])
+    root = roots([(a, b) for a, b in pairs if near(a, b)])
     assert {r.doc_id for r in after} == {i for i in sets if root.get(i, i) == i}
     before, after = by_name["best_fit_packing"]
     assert {r.doc_id for r in after} == {r.doc_id for r in before}
@@ -75,15 +76,3 @@ def test_near_copies_from_eighty_percent(spark, sf_dir):
     assert 0.8 <= share(1, 2) < 0.85 and max(share(1, 3), share(2, 3)) < 0.8
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == {1, 3}
-
-
-def test_near_stage_at_eighty_percent(stages):
-    _, before, after = next(s for s in stages if s[0] == "minhash_dedup")
-    sets = {r.doc_id: shingles(r.text) for r in before.collect()}
-    shared = {}
-    for i, s in sets.items():
-        for x in s:
-            shared.setdefault(x, []).append(i)
-    pairs = {(a, b) for ids in shared.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
-    root = roots([(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
-    assert {r.doc_id for r in after.collect()} == {i for i in sets if root.get(i, i) == i}
