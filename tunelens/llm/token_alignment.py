@@ -45,6 +45,7 @@ from tunelens.session import materialise
 BYTE_LEVEL_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 12_000_000
+UNITS_AT_ONCE = 60_000  # tokenised and linked together, which bounds what a block needs beside its text
 TEXT_BYTES = 4_000  # units are handed to a tokenizer in texts of about so many bytes
 PAIR = 2**32  # an id pair is a * PAIR + b
 
@@ -226,21 +227,35 @@ def tokenise(
 
 
 class Units:
-    """Tokens, groups and links of distinct units that lie in a row."""
+    """Tokens, groups and links of distinct units that lie in a row, UNITS_AT_ONCE at a time."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary, data: np.ndarray, bounds: np.ndarray, free: np.ndarray):
+        self.shown: list[bytes] = []
+        found: dict[str, list[np.ndarray]] = {}
+        for at in range(0, max(len(free), 1), UNITS_AT_ONCE):
+            inner = bounds[at : at + UNITS_AT_ONCE + 1]
+            part = self._some(a, b, data[inner[0] : inner[-1]], inner - inner[0], free[at : at + UNITS_AT_ONCE])
+            for name, value in part.items():
+                found.setdefault(name, []).append(value)
+        self.fine, self.n_a, self.n_b, self.n_groups, self.n_links, self.pairs = (
+            np.concatenate(found[name]) for name in ("fine", "n_a", "n_b", "n_groups", "n_links", "pairs")
+        )
+
+    def _some(
+        self, a: Vocabulary, b: Vocabulary, data: np.ndarray, bounds: np.ndarray, free: np.ndarray
+    ) -> dict[str, np.ndarray]:
         sides = [tokenise(v, data, bounds, free) for v in (a, b)]
-        self.fine = sides[0][2] & sides[1][2]
+        fine = sides[0][2] & sides[1][2]
         ids, starts, ends, unit = [], [], [], []
         for vocabulary, (own, start, _) in zip((a, b), sides, strict=True):
             of = np.searchsorted(bounds, start, side="right") - 1
-            kept = self.fine[of]
+            kept = fine[of]
             ids.append(own[kept])
             starts.append(start[kept])
             ends.append(start[kept] + vocabulary.table[2][own[kept]])
             unit.append(of[kept])
         n = len(bounds) - 1
-        self.n_a, self.n_b = (np.bincount(u, minlength=n) for u in unit)
+        n_a, n_b = (np.bincount(u, minlength=n) for u in unit)
         # Coalesce: a group breaks where a start has reached the furthest end so far.
         side = np.repeat([0, 1], [len(ids[0]), len(ids[1])])
         every = [np.concatenate(x) for x in (ids, starts, ends, unit)]
@@ -250,13 +265,14 @@ class Units:
         breaks[1:] = every[1][order][1:] >= reach[:-1]
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(breaks) - 1
-        self.n_groups = np.bincount(every[3][order][breaks], minlength=n)
-        self.shown = self._shown(every[0], group, side, every[3], n)
+        n_groups = np.bincount(every[3][order][breaks], minlength=n)
+        self.shown += self._shown(every[0], group, side, every[3], n)
         # Expand: the tokens of B that share bytes with each token of A.
         low = np.searchsorted(ends[1], starts[0], side="right")
         number = np.searchsorted(starts[1], ends[0], side="left") - low
-        self.pairs = np.repeat(ids[0], number) * PAIR + ids[1][spread(low, number)]
-        self.n_links = np.bincount(unit[0], number, n).astype(np.int64)
+        pairs = np.repeat(ids[0], number) * PAIR + ids[1][spread(low, number)]
+        n_links = np.bincount(unit[0], number, n).astype(np.int64)
+        return {"fine": fine, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "pairs": pairs}
 
     @staticmethod
     def _shown(ids: np.ndarray, group: np.ndarray, side: np.ndarray, unit: np.ndarray, n: int) -> list[bytes]:
@@ -290,7 +306,12 @@ def _block(rows: pa.RecordBatch, a: Vocabulary, b: Vocabulary, show: Callable[[b
     data, bounds = text_bytes(marked)
     starts, free = cut_units(data, bounds)
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    codes = span_codes(data, starts, ends, np.ones(len(data), bool))
+    codes = [np.zeros(0, np.uint64)]
+    for at in range(0, len(starts), UNITS_AT_ONCE):
+        some, last = starts[at : at + UNITS_AT_ONCE], ends[min(at + UNITS_AT_ONCE, len(ends)) - 1]
+        part = data[some[0] : last]
+        codes.append(span_codes(part, some - some[0], ends[at : at + UNITS_AT_ONCE] - some[0], np.ones(len(part), bool)))
+    codes = np.concatenate(codes)
     _, sample, unit = np.unique(codes, return_index=True, return_inverse=True)
     # Units that may stand anywhere come first, so they are tokenised in long texts.
     order = np.argsort(~free[sample], kind="stable")
