@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunelens.functions.vectors import update_mask
-from tunelens.operators.checkpoints import delta_rank, overall_sparsity, param_delta, update_overlap, update_sparsity
+from tunelens.operators.checkpoints import overall_sparsity, param_delta, update_overlap, update_sparsity
+from tunelens.operators.ranks import delta_rank
 from tunelens.plans.checkpoint_report import checkpoint_report
 
 SCHEMA = "model string, tensor string, shape array<int>, row_idx long, values array<float>"
@@ -98,7 +99,7 @@ def test_shape_mismatch_fails(spark):
 
 
 @pytest.mark.parametrize("shape", [(50, 4), (4, 50), (9, 9), (1, 6), (37, 5)])
-@pytest.mark.parametrize("cells", [1, 40, 16_000_000])
+@pytest.mark.parametrize("cells", [9, 40, 4_000_000])
 def test_rank_of_blocks_is_the_rank(spark, shape, cells):
     rng = np.random.default_rng(shape[0] * 100 + shape[1])
     data = {"base": {}, "a": {}, "b": {}}
@@ -109,10 +110,48 @@ def test_rank_of_blocks_is_the_rank(spark, shape, cells):
         data[m][V] = low
         expected[m] = int(np.linalg.matrix_rank(low.astype(np.float32)))
     delta = param_delta(table(spark, data), "base", ["a", "b"])
-    rows = delta_rank(delta, block_cells=cells).collect()
+    rows = delta_rank(delta, block_cells=cells, largest_side=9).collect()
     assert {r.model: (r["rank"], r.max_rank) for r in rows} == {m: (e, min(shape)) for m, e in expected.items()}
 
 
+def test_rank_of_long_sides_needs_their_length(spark):
+    data = {"base": {V: np.zeros((9, 12))}, "a": {V: np.eye(9, 12)}}
+    delta = param_delta(table(spark, data), "base", ["a"])
+    with pytest.raises(Exception, match="largest_side"):
+        delta_rank(delta, block_cells=9).collect()
+    assert delta_rank(delta, block_cells=9, largest_side=9).first()["rank"] == 9
+    data["a"][V] = np.full((9, 12), np.inf)
+    delta = param_delta(table(spark, data), "base", ["a"])
+    assert [tuple(r) for r in delta_rank(delta, block_cells=9, largest_side=9).collect()] == [("a", V, None, 9)]
+
+
+def test_rank_runs_no_job_before_its_use(spark):
+    delta = param_delta(table(spark, {"base": {V: np.zeros((5, 4))}, "a": {V: np.eye(5, 4)}}), "base", ["a"])
+    tracker, group = spark.sparkContext.statusTracker(), "planning"
+    spark.sparkContext.setJobGroup(group, group)
+    ranks = delta_rank(delta)
+    assert not tracker.getJobIdsForGroup(group)
+    assert ranks.first()["rank"] == 4
+
+
+def test_rank_near_the_tolerance(spark):
+    """Singular values on both sides of the tolerance, through several strips."""
+    rng = np.random.default_rng(8)
+    left, right = (np.linalg.qr(rng.normal(size=(n, 12)))[0] for n in (30, 20))
+    sizes = np.array([1.0, 0.5, 0.1, 1e-2, 1e-3, 1e-4, 1e-5, 2e-6, 1e-9, 0, 0, 0])
+    matrix = (left * sizes) @ right.T
+    data = {"base": {V: np.zeros((30, 20))}, "a": {V: matrix}, "b": {V: matrix.T}}
+    data["base"][D], data["b"][D] = np.zeros((20, 30)), matrix.T
+    del data["b"][V]
+    del data["a"][V]
+    data["a"][V] = matrix
+    expected = int((np.linalg.svd(matrix.astype(np.float32).astype(float), compute_uv=False) > 30 * 1.1920929e-07).sum())
+    delta = param_delta(table(spark, data), "base", ["a", "b"])
+    for cells in (16, 100, 4_000_000):
+        rows = delta_rank(delta, block_cells=cells, largest_side=20).collect()
+        assert [r["rank"] for r in rows] == [expected] * 2
+
+
 def test_rank_covers_only_reported_matrices(spark):
     name = "x.mlp.down_proj.weight"
     data = {"base": {V: np.zeros((3, 3)), "other": np.zeros((3, 3)), name: np.zeros(4)}}

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from tunelens.functions.vectors import UPDATE_THRESHOLD
 from tunelens.operators.checkpoints import (
     REPORTED_PATTERNS,
-    delta_rank,
     overall_sparsity,
     param_delta,
     select_tensors,
     update_overlap,
     update_sparsity,
 )
+from tunelens.operators.ranks import delta_rank
 
 
 def checkpoint_report(

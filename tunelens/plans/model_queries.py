@@ -9,7 +9,6 @@ from tunelens.functions.common import int_div
 from tunelens.functions.divergence import entropy, log_mixture, log_softmax, mask_vocab, pointwise_jsd
 from tunelens.functions.vectors import update_mask
 from tunelens.operators.checkpoints import (
-    delta_rank,
     overall_sparsity,
     param_delta,
     select_tensors,
@@ -18,6 +17,7 @@ from tunelens.operators.checkpoints import (
 )
 from tunelens.operators.gradients import grad_metrics, grad_norm, grad_sparsity, to_metrics
 from tunelens.operators.logits import divergence_loss, position_divergence
+from tunelens.operators.ranks import delta_rank
 from tunelens.operators.runs import args_to_map, failure_reason, is_pointer
 from tunelens.plans import adapters as a
 from tunelens.plans.evaluation_queries import rounded
@@ -258,6 +258,25 @@ QUERIES = {
 _r = lambda x, n=6: f"round(CAST({x} AS DOUBLE), {n}) + 0.0"
 _EXCEPTION = r"^[A-Za-z_][A-Za-z0-9_.]*(Error|Exception|Interrupt|Exit|Warning)(\([A-Za-z0-9_]*\))?(:|$)"
 
+# Deltas are multiples of 1/1024, so the rank is that of whole numbers: elimination modulo the prime
+# 2**31 - 1, column by column, by cross multiplication with the first row that is not zero there.
+_ELIMINATION = """steps AS (
+  SELECT model, tensor, vec_id, list(CAST(d * 1024 AS BIGINT) ORDER BY i) AS v, false AS used, 1 AS c
+  FROM deltas WHERE contains(tensor, 'mlp.down_proj.weight') OR contains(tensor, 'self_attn.v_proj.weight')
+  GROUP BY model, tensor, vec_id
+  UNION ALL
+  SELECT model, tensor, vec_id,
+    CASE WHEN top IS NULL OR vec_id = top THEN v
+      ELSE list_transform(list_zip(v, top_v), lambda x: ((x[1] * top_v[c] - x[2] * v[c]) % 2147483647 + 2147483647) % 2147483647) END,
+    used OR coalesce(vec_id = top, false), c + 1
+  FROM (
+    SELECT *, min(vec_id) FILTER (WHERE NOT used AND v[c] % 2147483647 <> 0) OVER w AS top,
+      arg_min(v, vec_id) FILTER (WHERE NOT used AND v[c] % 2147483647 <> 0) OVER w AS top_v
+    FROM steps WHERE c <= len(v) WINDOW w AS (PARTITION BY model, tensor)))
+SELECT model, tensor, CAST(count(*) FILTER (WHERE used) AS INTEGER) AS rank,
+  CAST(least(count(*), max(len(v))) AS INTEGER) AS max_rank
+FROM steps WHERE c = len(v) + 1 GROUP BY model, tensor"""
+
 ORACLES = {
     "log_softmax": f"""WITH {a.logprobs_sql(TEMPERATURE)}
 SELECT vec_id, i, {_r('ls')} AS log_student, {_r('lt')} AS log_teacher FROM logprobs""",
@@ -289,6 +308,8 @@ FROM deltas WHERE contains(tensor, 'mlp.down_proj.weight') OR contains(tensor, '
     "overall_sparsity": f"""WITH {a.PARAMS_SQL}
 SELECT model, count(*) AS params, count(*) FILTER (WHERE abs(d) < 1e-5) AS unchanged,
   {_r('count(*) FILTER (WHERE abs(d) < 1e-5) / count(*)')} AS sparsity FROM deltas GROUP BY model""",
+    "delta_rank": f"""WITH RECURSIVE {a.PARAMS_SQL},
+{_ELIMINATION}""",
     "update_mask": f"""WITH {a.PARAMS_SQL}
 SELECT model, tensor, i, count(*) FILTER (WHERE abs(d) >= 1e-5) AS updated FROM deltas GROUP BY model, tensor, i""",
     "update_overlap": f"""WITH {a.PARAMS_SQL},
