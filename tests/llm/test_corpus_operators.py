@@ -184,10 +184,59 @@ def test_contexts_are_counted_over_all_training_documents(spark):
     training = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     model = context_mixing.fit(training, context_mixing.word_counts(training.select("text")))
     batch = pa.record_batch([pa.array([t for _, t in rows])], names=["text"])
-    found, weights = (model.odds.copy(), model.level.copy()), model.weights
-    model.learn(np.arange(model.slots()), *context_mixing._counted(model, [batch]))
-    assert np.allclose(found[0], model.odds) and (found[1] == model.level).all() and model.level.any()
-    assert not np.allclose(weights, 0.3)
+    zeros, ones = context_mixing.counted(model, [batch]).reshape(-1, 2).astype(int).T
+    assert (model.table == context_mixing.packed(zeros + ones, ones)).all() and ones.any()
+    assert not np.allclose(model.weights, 0.3)
+
+
+def test_context_tables_grow_with_the_training_text():
+    import numpy as np
+
+    slots = [context_mixing.Model(np.arange(3, dtype=np.uint64), np.ones(3), n, 3, 1).context_slots for n in (9, 10**5, 10**6, 10**12)]
+    assert slots == [2**16, 2**17, 2**20, context_mixing.MOST_SLOTS]
+
+
+def plain_mixer(model, ids, table):
+    """Bits of one text, decision by decision."""
+    weights = {}
+    codes, total, queue = model.codes, 0.0, []
+    for place, token in enumerate(ids):
+        if place % context_mixing.BLOCK == 0:
+            for gate, step in queue:
+                weights.setdefault(gate, list(model.weights[:, gate].astype(float)))
+                weights[gate] = [w + s for w, s in zip(weights[gate], step)]
+            queue = []
+        for depth in range(codes.length[token]):
+            at = codes.start[token] + depth
+            gate, inputs = table[place, depth]
+            own = weights.get(gate) or list(model.weights[:, gate].astype(float))
+            logit = sum(w * x for w, x in zip(own, [*inputs, 1.0]))
+            bit = int(codes.bit[at])
+            chance = 1 / (1 + math.exp(-max(-16, min(16, logit))))
+            total -= math.log2(chance if bit else 1 - chance)
+            queue.append((gate, [context_mixing.RATE * (bit - chance) * x for x in [*inputs, 1.0]]))
+    return total
+
+
+def test_mixing_against_a_plain_mixer():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = context_mixing.Model(np.arange(1, 31, dtype=np.uint64), rng.integers(1, 90, 30), 900, 40, 9)
+    model.table = context_mixing.packed(*(lambda n: (n, rng.binomial(n, 0.4)))(rng.integers(0, 30, model.slots())))
+    texts = [rng.integers(0, 32, n) for n in (1, 5, 200, 70)]
+    ids, doc = np.concatenate(texts), np.repeat(np.arange(4), [len(t) for t in texts])
+    found = model.cost(ids, doc, 4)
+    for k, text in enumerate(texts):
+        token, _, depth, slots = model.decisions(text, np.zeros(len(text), int))
+        rows = [model.table[s] for s in slots]
+        place = np.arange(len(token)) - np.searchsorted(token, token)
+        table = {}
+        for i, t in enumerate(token.tolist()):
+            level = [int(r[i]) >> 10 for r in rows]
+            gate = (int(depth[i]) * context_mixing.LEVELS + level[1]) * context_mixing.LEVELS + level[2]
+            table[t, int(place[i])] = gate, [((int(r[i]) & 1023) - 512) * context_mixing.STEP for r in rows]
+        assert found[k] == pytest.approx(plain_mixer(model, text.tolist(), table), rel=1e-4)
 
 
 def test_scores_of_little(spark):
