@@ -20,7 +20,7 @@ are plain equi-joins that adaptive execution can split.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; texts of
 one to four words have one shingle, all their words; rows with the same id are one document in
-several rows (linked); rows with a null id take part in no link and are kept; an empty table gives
+several rows (linked), each text with its own links; rows with a null id take part in no link and are kept; an empty table gives
 no rows; all input columns are carried by none of the steps but can be joined back by id.
 """
 
@@ -51,7 +51,7 @@ BLOCK_SHINGLES = 2_000_000
 SLICE = 8_192  # shingles counted at once
 
 SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch array<long>"
-SETS = "doc_id long, codes array<long>"
+SETS = "doc_id long, key long, codes array<long>"
 
 _random = np.random.default_rng(85)
 FACTORS = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,12 +70,19 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes[fresh], np.bincount(doc[fresh], minlength=len(counts))
 
 
+def set_keys(codes: np.ndarray, counts: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit key of each set that is not empty."""
+    heads = (np.cumsum(counts) - counts)[counts > 0]
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(mix(codes ^ np.uint64(salt)), heads) if len(heads) else codes[:0]
+
+
 def signatures(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two set keys, band keys and odd sketch of each set that is not empty."""
     heads = (np.cumsum(counts) - counts)[counts > 0]
     n = len(heads)
     with np.errstate(over="ignore"):
-        keys = np.stack([np.add.reduceat(mix(codes ^ np.uint64(s)), heads) if n else codes[:0] for s in (1, 2)], 1)
+        keys = np.stack([set_keys(codes, counts, salt) for salt in (1, 2)], 1)
         minima = np.empty((BANDS * ROWS, n), np.uint64)
         for i, (factor, salt) in enumerate(zip(FACTORS, SALTS, strict=True)):
             minima[i] = np.minimum.reduceat((codes ^ salt) * factor, heads) if n else 0
@@ -134,7 +141,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, counts = shingle_sets(rows.column(1))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(codes.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["doc_id", "codes"])
+            key = _spread(set_keys(codes, counts, 1), counts > 0)
+            yield pa.RecordBatch.from_arrays([rows.column(0), key, lists], names=["doc_id", "key", "codes"])
 
 
 def max_ones(percent: int) -> int:
@@ -148,17 +156,22 @@ def sketch_ones(a: Column, b: Column) -> Column:
     return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
+def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets named by (doc_id, key), each once."""
+    texts = among(documents.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id")
+    found = texts.mapInArrow(_sets, SETS).join(wanted.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_semi")
+    return found.dropDuplicates(["doc_id", "key"])
+
+
 def _confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = among(documents.select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"])
-    sets = materialise(texts.mapInArrow(_sets, SETS))
-    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("codes_b")), "b").join(
-        sets.select(F.col("doc_id").alias("a"), F.col("codes").alias("codes_a")), "a"
-    )
+    """Those of the pairs (a, a_key, b, b_key) whose full shingle sets are similar enough, by id."""
+    ends = [pairs.select(F.col(x).alias("doc_id"), F.col(f"{x}_key").alias("key")) for x in ("a", "b")]
+    sets = materialise(_sets_of(documents, ends[0].union(ends[1]).distinct()))
+    side = lambda x: sets.select(*[F.col(c).alias(n) for c, n in zip(sets.columns, (x, f"{x}_key", f"codes_{x}"))])
+    joined = pairs.join(side("b"), ["b", "b_key"]).join(side("a"), ["a", "a_key"])
     shared = F.size(F.array_intersect("codes_a", "codes_b"))
     union = F.size("codes_a") + F.size("codes_b") - shared
-    return joined.filter(shared * 100 >= union * percent).select("a", "b")
+    return joined.filter((shared * 100 >= union * percent) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
 
 
 def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -167,7 +180,7 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     Nodes of one block are compared with those of the other, or with each other where both blocks
     are one. Shared shingles are counted as products of 0/1 matrices, SLICE columns at a time.
     """
-    rows = rows.drop_duplicates("node").sort_values(["block", "node"], ignore_index=True)
+    rows = rows.drop_duplicates(["node", "key"]).sort_values(["block", "node", "key"], ignore_index=True)
     block = rows["block"].to_numpy()
     node, part = rows["node"].to_numpy(), rows["component"].to_numpy()
     sketch = np.array(rows["sketch"].tolist(), np.int64).view(np.uint64)
@@ -206,7 +219,7 @@ def _rest(members: DataFrame, links: DataFrame, nodes: DataFrame, documents: Dat
     """Links between nodes that share a bucket and that ``links`` leave in different components."""
     united = components(links)
     labelled = members.join(united, members["node"] == united["id"], "left").select(
-        "band", "first", "node", F.coalesce("component", "node").alias("component")
+        "band", F.col("first.node").alias("first"), "node", "key", F.coalesce("component", "node").alias("component")
     )
     split = (
         labelled.groupBy("band")
@@ -214,21 +227,20 @@ def _rest(members: DataFrame, links: DataFrame, nodes: DataFrame, documents: Dat
         .filter((F.col("n") > 2) & (F.col("low") != F.col("high")))
         .select("band")
     )
-    left = materialise(labelled.join(split, "band").select("first", "node", "component").distinct())
+    left = materialise(labelled.join(split, "band").select("first", "node", "key", "component").distinct())
     # Nodes that buckets connect are one cluster, dealt into blocks by hash.
     cluster = components(left.select(F.col("first").alias("a"), F.col("node").alias("b")))
     named = cluster.select(F.col("id").alias("node"), F.col("component").alias("cluster"))
-    found = left.select("node", F.col("component").alias("part")).distinct().join(named, "node")
-    known = materialise(found.join(nodes.select("node", "sketch", "n_shingles"), "node"))
+    found = left.select("node", "key", F.col("component").alias("part")).distinct().join(named, "node")
+    known = materialise(found.join(nodes.select("node", "key", "sketch", "n_shingles"), ["node", "key"]))
     blocks = known.groupBy("cluster").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    ids = known.select(F.col("node").alias("doc_id"))
-    sets = among(documents.select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, SETS)
+    sets = _sets_of(documents, known.select(F.col("node").alias("doc_id"), "key"))
     dealt = (
         known.join(blocks, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(sets.withColumnRenamed("doc_id", "node"), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+        .join(sets.withColumnRenamed("doc_id", "node"), ["node", "key"])
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "cluster",
@@ -236,6 +248,7 @@ def _rest(members: DataFrame, links: DataFrame, nodes: DataFrame, documents: Dat
             F.greatest("block", "other").alias("high"),
             "block",
             "node",
+            "key",
             F.col("part").alias("component"),
             "sketch",
             "codes",
@@ -259,27 +272,31 @@ def near_duplicates(documents: DataFrame, percent: int = THRESHOLD_PERCENT) -> D
             F.first("n_shingles").alias("n_shingles"),
         )
     )
-    placed = nodes.select("node", F.explode("bands").alias("band"))
-    full = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
+    # One id may have several texts, so a set is named by its smallest id and its own key.
+    nodes = nodes.withColumnRenamed("key1", "key")
+    placed = nodes.select("node", "key", F.explode("bands").alias("band"))
+    name = F.struct("node", "key")
+    full = placed.groupBy("band").agg(F.count("*").alias("n"), F.min(name).alias("first")).filter("n > 1")
     members = materialise(
-        placed.join(full.select("band", "first"), "band").join(nodes.select("node", "sketch"), "node")
+        placed.join(full.select("band", "first"), "band").join(nodes.select("node", "key", "sketch"), ["node", "key"])
     )
 
-    heads = members.filter(F.col("node") == F.col("first")).select(
-        "band", F.col("node").alias("a"), F.col("sketch").alias("sketch_a")
+    heads = members.filter(name == F.col("first")).select(
+        "band", F.col("node").alias("a"), F.col("key").alias("a_key"), F.col("sketch").alias("sketch_a")
     )
-    rest = members.filter(F.col("node") > F.col("first"))
+    rest = members.filter(name > F.col("first"))
     stars = rest.join(heads, "band").filter(
         sketch_ones(F.col("sketch_a"), F.col("sketch")) <= max_ones(percent)
     )
-    pairs = materialise(stars.select("a", F.col("node").alias("b")).distinct())
+    pairs = stars.select("a", "a_key", F.col("node").alias("b"), F.col("key").alias("b_key")).filter("a != b")
+    pairs = materialise(pairs.distinct())
     links = materialise(_confirmed(pairs, documents, percent))
 
     every = links.union(_rest(members, links, nodes, documents, percent))
 
     final = components(materialise(every.union(_same_ids(present))))
     grouped = nodes.join(final, nodes["node"] == final["id"], "left").select(
-        "key1", "key2", F.coalesce("component", "node").alias("component"), "n", F.col("id")
+        F.col("key").alias("key1"), "key2", F.coalesce("component", "node").alias("component"), "n", F.col("id")
     )
     moved = grouped.filter((F.col("n") > 1) | F.col("id").isNotNull()).select("key1", "key2", "component")
     out = signed.join(moved, ["key1", "key2"], "left").select(
