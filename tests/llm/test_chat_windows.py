@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import words
-from tests.oracle import compare, connect
 from tunelens.llm import chat_windows, queries
 
 ROWS = "conv_id long, turn long, role string, text string"
@@ -145,7 +144,3 @@ def test_query(spark, sf_dir):
     found = {r.conv_id: r for r in queries.op13_chat_windows(spark, sf_dir).collect()}
     assert {c: r.formatted_chars for c, r in found.items()} == chars
     assert sorted(tuple(r)[:-1] for r in found.values()) == sorted(digests(rows))
-
-
-def test_oracle(spark, sf_dir):
-    compare(spark, connect(sf_dir), queries.op13_chat_windows, queries.ORACLES["op13_chat_windows"], sf_dir)

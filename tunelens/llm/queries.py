@@ -34,7 +34,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(rows, table(spark, sf_dir, "labels")).select("row.doc_id", "*").drop("row")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return score_documents(rows, table(spark, sf_dir, "labels")).select("row.doc_id", *counts)
 
 
 def id_bucket(doc_id: Column, buckets: int) -> Column:
