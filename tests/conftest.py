@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
+from tunelens.session import clean_work  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,6 +27,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_work(session)
     session.stop()
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunelens.functions.vectors import update_mask
-from tunelens.operators.checkpoints import overall_sparsity, param_delta, update_overlap, update_sparsity
+from tunelens.operators.checkpoints import overall_sparsity, param_delta, split_rows, update_overlap, update_sparsity
 from tunelens.operators.ranks import delta_rank
 from tunelens.plans.checkpoint_report import checkpoint_report
 
@@ -71,6 +71,32 @@ def test_overlap(spark, models):
     assert found == expected
 
 
+@pytest.mark.parametrize("width", [1, 3, 100])
+def test_rows_in_blocks_give_the_same(spark, models, width):
+    """A matrix row, or a whole flattened tensor, in several records."""
+    names = ["a", "b", "c"]
+    whole = param_delta(table(spark, models), "base", names)
+    blocks = split_rows(table(spark, models), width)
+    assert blocks.agg(F.max(F.size("values"))).first()[0] == min(width, 7)
+    delta = param_delta(split_rows(blocks, 2).repartition(3), "base", names)
+    same = lambda f: sorted(map(tuple, f(whole).collect())) == sorted(map(tuple, f(delta).collect()))
+    assert same(update_sparsity) and same(lambda d: overall_sparsity(update_sparsity(d)))
+    assert same(lambda d: update_overlap(d, names))
+    assert same(lambda d: delta_rank(d)) and same(lambda d: delta_rank(d, block_cells=9, largest_side=9))
+
+
+def test_flattened_tensor_of_one_record(spark):
+    flat = {"base": {"w": np.zeros(1_000)}, "a": {"w": np.arange(1_000) % 7 == 0}}
+    whole = param_delta(table(spark, flat), "base", ["a"])
+    delta = param_delta(split_rows(table(spark, flat), 64), "base", ["a"])
+    assert delta.count() == 16 and update_sparsity(delta).first() == update_sparsity(whole).first()
+    twice = split_rows(split_rows(table(spark, flat), 64), 10)
+    assert twice.filter("model = 'a'").agg(F.sum("start"), F.count("*")).first() == tuple(
+        (sum(s + k for s in range(0, 1_000, 64) for k in range(0, min(64, 1_000 - s), 10)),
+         sum(-(-min(64, 1_000 - s) // 10) for s in range(0, 1_000, 64)))
+    )
+
+
 def test_overlap_edges(spark):
     one = {"base": {V: np.zeros((2, 2))}, "a": {V: np.ones((2, 2))}, "b": {D: np.ones((2, 2))}}
     one["base"][D] = np.zeros((2, 2))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunelens.functions.divergence import divergence, entropy, log_mixture, log_softmax, mask_vocab, pointwise_jsd, softmax
-from tunelens.operators.logits import divergence_loss, position_divergence
+from tunelens.operators.logits import divergence_loss, position_divergence, split_position_divergence
 
 SCHEMA = "seq_id long, pos int, loss_mask boolean, student_logits array<float>, teacher_logits array<float>"
 
@@ -124,3 +124,34 @@ def test_slices_change_nothing(spark, monkeypatch):
     df = logits(spark, pairs)
     rows = df.select("pos", log_softmax(F.col("student_logits")).alias("l")).orderBy("pos").collect()
     assert all(sum(np.exp(r.l)) == pytest.approx(1.0) for r in rows)
+
+
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"clip": 0.01, "beta": 0.3}, {"temperature": 2.5, "mask_ids": (0, 7, 11)}, {"loss": "rkl", "clip": None, "mask_ids": (4,)}],
+)
+def test_split_vocabulary_equals_the_whole(spark, options):
+    """Blocks of uneven width, in any order, with logits far apart and positions that do not count."""
+    rng = np.random.default_rng(4)
+    pairs = [(rng.normal(size=12) * scale, rng.normal(size=12) * scale) for scale in (1, 5, 60, 1) for _ in range(5)]
+    mask = [i % 4 != 3 for i in range(len(pairs))]
+    whole = logits(spark, pairs, mask)
+    expected = {r.pos: r.divergence for r in position_divergence(whole, **options).collect()}
+    rows = []
+    for i, (student, teacher) in enumerate(pairs):
+        cuts = sorted({0, *rng.integers(1, 12, 3).tolist(), 12})
+        rows += [(i, mask[i], a, list(map(float, student[a:b])), list(map(float, teacher[a:b]))) for a, b in zip(cuts, cuts[1:])]
+    schema = "pos int, loss_mask boolean, start int, student_logits array<float>, teacher_logits array<float>"
+    blocks = spark.createDataFrame(rows, schema).repartition(5)
+    found = {r.pos: r.divergence for r in split_position_divergence(blocks, ["pos"], **options).collect()}
+    assert found.keys() == expected.keys()
+    assert [found[k] for k in sorted(found)] == pytest.approx([expected[k] for k in sorted(found)], abs=1e-9)
+
+
+def test_split_vocabulary_shuffles_logits_once(spark):
+    schema = "pos int, loss_mask boolean, start int, student_logits array<float>, teacher_logits array<float>"
+    found = split_position_divergence(spark.createDataFrame([(0, True, 0, [1.0], [2.0])], schema), ["pos"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shares, blocks = plan.split("Exchange ")[1:]
+    assert "partial_sum" in shares.splitlines()[1] and "student_logits" in blocks.splitlines()[1]
+    assert found.first().divergence == pytest.approx(0, abs=1e-12)

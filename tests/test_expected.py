@@ -14,7 +14,7 @@ def run(spark):
 
 def test_scorecards(run):
     card = {r.split: (r.total, r.correct, r.wrong, r.no_answer) for r in run("scorecard_combined")}
-    assert card == {"validation": (104, 24, 56, 24), "test": (129, 18, 79, 32), "combined": (233, 42, 135, 56)}
+    assert card == {"validation": (245, 24, 56, 24), "test": (291, 18, 79, 32), "combined": (536, 42, 135, 56)}
 
 
 def test_sparsity_rank_and_overlap(run):

@@ -175,6 +175,11 @@ def test_tables(spark, tmp_path):
     both = union_splits({"train": one, "test": two})
     assert {(r.x, r.split, r.split_ord) for r in both.collect()} == {(1, "train", 0), (2, "test", 1), (3, "test", 1)}
     write_splits(both, str(tmp_path / "s"))
+    for name, n in (("01", 3), ("1", 2), ("a/b 1.0", 1), ("1.0", 4)):
+        write_splits(spark.range(n).withColumn("split", F.lit(name)), str(tmp_path / "named"), "append")
+    for name, n in (("01", 3), ("1", 2), ("a/b 1.0", 1), ("1.0", 4), ("2", 0)):
+        found = read_split(spark, str(tmp_path / "named"), name)
+        assert (found.count(), {r.split for r in found.collect()}) == (n, {name} if n else set())
     assert row_count(read_split(spark, str(tmp_path / "s"), "test")).first()["rows"] == 2
     files = read_all(spark, str(tmp_path / "s" / "split=test" / "*.parquet"))
     assert files.count() == 2 and files.first().file.endswith(".parquet")

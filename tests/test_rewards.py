@@ -1,12 +1,15 @@
 """Reward columns against worked rows and bounds."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tunelens.functions.rewards import REWARDS, trigram_share, words
-from tunelens.functions.text import extract_answer
+from tunelens.functions.rewards import REWARDS, trigram_share
+from tunelens.functions.text import extract_answer, words
+from tunelens.functions.trigrams import text_trigram_share
 from tunelens.operators.reward_table import advantage, debug_first, total_reward, with_rewards
 
 L = "".join(f"Sentence number {i} gives a distinct reason {7 * i}. " for i in range(5))
@@ -74,6 +77,21 @@ def test_counts_agree_with_python(spark, texts):
         assert row.int_answer in (0.0, 0.1, 0.5)
 
 
+def test_trigram_share_of_texts(spark):
+    """All white space, wide characters that are none, many kinds of words, nulls and long texts."""
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(spaces) + rng.choice(["é", "Â", "a", "\u200b", "\ue000", "カ"]) for _ in range(60)) for _ in range(30)]
+    texts += ["", " ", "a b", "a b c", None, " ".join(str(i) for i in range(120_000)), "x y " * 50_000]
+    texts += [c.join("abcabcabcabd") for c in spaces]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string").repartition(2)
+    found = {r.i: r.share for r in df.select("i", text_trigram_share(F.col("c")).alias("share")).collect()}
+    for i, text in enumerate(texts):
+        tokens = (text or "").split()
+        grams = [tuple(tokens[k : k + 3]) for k in range(len(tokens) - 2)]
+        assert found[i] == (len(set(grams)) / len(grams) if grams else None)
+
+
 def test_trigram_share(spark):
     df = spark.createDataFrame([("a b c a b c a b c d",)], "c string")
     share = df.select(trigram_share(words(F.col("c")))).first()[0]

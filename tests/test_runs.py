@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -42,18 +44,56 @@ def test_arguments(spark):
     assert got == [{"b": "x", "a": "2"}, {"v": None}, {}]
 
 
+FRAME = "Traceback (most recent call last):\n  File \"x\", line 1\n    go()\n"
+
+
 def test_failures(spark, tmp_path):
-    log = "start\nValueError: first\nmore\n  File \"x\", line 1\npkg.errors.TaskError(OutOfMemoryError): last one\ntail\n"
+    log = f"start\nValueError: only logged\n{FRAME}KeyError: 1\n\nDuring handling\n\n{FRAME}"
+    log += "pkg.errors.TaskError(OutOfMemoryError): last one\ntail\n  shifted\nTypeError: logged\n"
     folder(tmp_path, "a1", log=log)
-    folder(tmp_path, "b2", log="fine\nNotAnErrorLine here\n")
-    folder(tmp_path, "c3", log="KeyboardInterrupt\n")
+    folder(tmp_path, "b2", log="fine\nNotAnErrorLine here\n  indented\nValueError: logged\n")
+    folder(tmp_path, "c3", log=f"{FRAME}KeyboardInterrupt\n")
     folder(tmp_path, "d4", log=POINTER)
+    folder(tmp_path, "e5", log=f"{FRAME}TaskError(Inner): outer\n      ^^^\n  File y\nInner: cause\nend\n")
+    folder(tmp_path, "f6", log="ValueError: logged\n" + FRAME)
     logs = read_run_logs(spark, f"{tmp_path}/*/files/log")
     assert [r.run_id for r in pointer_runs(logs).collect()] == ["d4"]
-    rows = failure_reason(logs).collect()
-    assert {r.run_id: r.reason for r in rows} == {
-        "a1": "pkg.errors.TaskError(OutOfMemoryError): last one", "c3": "KeyboardInterrupt",
+    expected = {
+        "a1": "pkg.errors.TaskError(OutOfMemoryError): last one", "c3": "KeyboardInterrupt", "e5": "Inner: cause",
     }
+    for section in (1, 2, 3, 5, 4_096):
+        rows = failure_reason(logs, section_lines=section).collect()
+        assert {r.run_id: r.reason for r in rows} == expected
+
+
+def plain_reason(lines):
+    """Line by line: the last line that closes a traceback."""
+    found, state, prior = None, False, None
+    for line in lines:
+        if line.startswith("Traceback (most"):
+            state, prior = True, "opens"
+        elif not line.strip():
+            prior = "blank"
+        elif line[0] in " \t":
+            prior = "inner"
+        else:
+            state = state and prior in ("opens", "inner") if prior in ("opens", "inner") else False
+            if state and re.match(r"[A-Za-z_][\w.]*(\(\w*\))?(:|$)", line):
+                found = line
+            prior = "other"
+    return found
+
+
+def test_failures_of_any_log(spark):
+    rng = random.Random(3)
+    kinds = ["Traceback (most recent call last):", "  File x", "\tgo()", "", "plain text", "KeyError: {}", "pkg.E(Cause): {}", "  "]
+    logs = {i: [rng.choice(kinds).format(rng.random()) for _ in range(rng.randint(1, 30))] for i in range(200)}
+    rows = [(i, n, line) for i, log in logs.items() for n, line in enumerate(log)]
+    frame = spark.createDataFrame(rows, "run_id long, line_no long, value string").repartition(4)
+    expected = {i: r for i, log in logs.items() if (r := plain_reason(log))}
+    assert 50 < len(expected) < 200
+    for section in (3, 4_096):
+        assert {r.run_id: r.reason for r in failure_reason(frame, section_lines=section).collect()} == expected
 
 
 GRADS = [(0, "w", 3e-7), (0, "w", -4.0), (0, "b", None), (1, "w", 0.0), (1, "b", 3.0), (1, "b", 4.0)]

@@ -85,7 +85,10 @@ def kernel(returns: str, compute: Callable[..., pa.Array], *columns: Column) ->
     def two(left: pa.Array, right: pa.Array) -> pa.Array:
         return _in_slices(compute, left, right)
 
-    return F.arrow_udf(one if len(columns) == 1 else two, returns)(*columns)
+    def five(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array) -> pa.Array:
+        return _in_slices(compute, a, b, c, d, e)
+
+    return F.arrow_udf({1: one, 2: two, 5: five}[len(columns)], returns)(*columns)
 
 
 def _pair(student: pa.Array, teacher: pa.Array) -> tuple[Rows, Rows]:
@@ -104,12 +107,20 @@ def _capped(values: np.ndarray, clip: float | None) -> np.ndarray:
     return np.minimum(values, clip) if clip else values
 
 
+def _jsd_cells(log_s: np.ndarray, log_t: np.ndarray, beta: float, clip: float | None) -> np.ndarray:
+    log_m = _log_mix(log_t, log_s, beta)
+    terms = beta * _capped(np.exp(log_t) * (log_t - log_m), clip)
+    return terms + (1.0 - beta) * _capped(np.exp(log_s) * (log_s - log_m), clip)
+
+
+def _rkl_cells(log_s: np.ndarray, log_t: np.ndarray, beta: float | None, clip: float | None) -> np.ndarray:
+    return _capped(np.exp(log_s) * (log_s - log_t), clip)
+
+
 def _jsd_terms(student, teacher, beta, clip, temperature, masked) -> tuple[Rows, np.ndarray]:
     left, right = _pair(student, teacher)
     log_s, log_t = left.log_softmax(temperature), right.log_softmax(temperature)
-    log_m = _log_mix(log_t, log_s, beta)
-    terms = beta * _capped(np.exp(log_t) * (log_t - log_m), clip)
-    terms += (1.0 - beta) * _capped(np.exp(log_s) * (log_s - log_m), clip)
+    terms = _jsd_cells(log_s, log_t, beta, clip)
     if masked:
         terms[np.isin(left.positions(), masked)] = 0.0
     return left, terms
@@ -125,6 +136,54 @@ def log_softmax(logits: Column, temperature: float = TEMPERATURE) -> Column:
     return kernel("array<double>", compute, logits)
 
 
+def log_total(logits: Column, temperature: float = TEMPERATURE) -> Column:
+    """Log of the summed exponentials of a row; those of a row's blocks add up under ``log_sum``."""
+
+    def compute(array: pa.Array) -> pa.Array:
+        rows = Rows(array)
+        scaled = rows.flat / temperature
+        top = rows.reduce(np.maximum, scaled)
+        shifted = np.exp(scaled - rows.spread(top))
+        with np.errstate(divide="ignore"):
+            totals = top + np.log(rows.reduce(np.add, shifted))
+        return pa.array(totals, mask=~rows.filled)
+
+    return kernel("double", compute, logits)
+
+
+CELLS = {"jsd": _jsd_cells, "rkl": _rkl_cells}
+
+
+def block_divergence(
+    student: Column,
+    teacher: Column,
+    log_student: Column,
+    log_teacher: Column,
+    start: Column,
+    loss: str = "jsd",
+    beta: float | None = JSD_BETA,
+    clip: float | None = POINTWISE_CLIP,
+    temperature: float = TEMPERATURE,
+    mask_ids: Sequence[int] = (),
+) -> Column:
+    """One block's share of a row's divergence, given the ``log_total`` of both whole rows.
+
+    ``start`` is the vocabulary id of the block's first entry.
+    """
+    cells, masked = CELLS[loss], list(mask_ids)
+
+    def compute(left: pa.Array, right: pa.Array, ls: pa.Array, lt: pa.Array, at: pa.Array) -> pa.Array:
+        rows, other = _pair(left, right)
+        per_row = [pc.fill_null(x, 0).to_numpy(zero_copy_only=False) for x in (ls, lt, at)]
+        log_s, log_t = (r.flat / temperature - rows.spread(x) for r, x in zip((rows, other), per_row))
+        terms = cells(log_s, log_t, beta, clip)
+        if masked:
+            terms[np.isin(rows.positions() + rows.spread(per_row[2]), masked)] = 0.0
+        return rows.totals(terms)
+
+    return kernel("double", compute, student, teacher, log_student, log_teacher, start)
+
+
 def token_log_probability(logits: Column, token: Column, temperature: float = TEMPERATURE) -> Column:
     """Log probability of one entry of a row of logits; null outside the row.
 
@@ -211,7 +270,7 @@ def reverse_kl(
     def compute(left: pa.Array, right: pa.Array) -> pa.Array:
         rows, other = _pair(left, right)
         log_s, log_t = rows.log_softmax(temperature), other.log_softmax(temperature)
-        terms = _capped(np.exp(log_s) * (log_s - log_t), clip)
+        terms = _rkl_cells(log_s, log_t, beta, clip)
         if masked:
             terms[np.isin(rows.positions(), masked)] = 0.0
         return rows.totals(terms)

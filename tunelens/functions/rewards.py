@@ -24,8 +24,8 @@ from tunelens.functions.text import (
     last_part,
     marker_parts,
     strip,
-    words,
 )
+from tunelens.functions.trigrams import text_trigram_share
 
 RewardFn = Callable[[Column, Column], Column]
 
@@ -135,11 +135,11 @@ def trigram_share(tokens: Column) -> Column:
 
 
 def no_repetition(response: Column, key: Column | None = None) -> Column:
-    tokens = words(response)
-    score = F.when(F.size(tokens) < REPETITION_MIN_WORDS, F.lit(0.0)).otherwise(
-        _tiered(trigram_share(tokens), REPETITION_SCORES, REPETITION_PENALTY, exclusive=True)
+    share = text_trigram_share(response, REPETITION_MIN_WORDS)
+    graded = lambda x: F.when(x.isNull(), F.lit(0.0)).otherwise(
+        _tiered(x, REPETITION_SCORES, REPETITION_PENALTY, exclusive=True)
     )
-    return _present(response, score)
+    return _present(response, let(share, graded))
 
 
 # Named rewards in their configured order; callers may pass their own mapping.

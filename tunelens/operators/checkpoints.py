@@ -2,7 +2,9 @@
 
 A parameter table has one matrix row per record: (model, tensor, shape,
 row_idx, values). (tensor, row_idx) is unique per model, so joins on it have no
-hot key however large one tensor is.
+hot key however large one tensor is. Rows too wide for a record come as several:
+a further column ``start`` tells the column a record begins at (``split_rows``),
+and belongs to the key. All counts are taken per record and add up.
 """
 
 from __future__ import annotations
@@ -28,17 +30,37 @@ ROW = ("tensor", "row_idx")
 REPORTED_PATTERNS = ("mlp.down_proj.weight", "self_attn.v_proj.weight")
 
 
+def row_key(df: DataFrame) -> tuple[str, ...]:
+    """What names a record within a model."""
+    return (*ROW, "start") if "start" in df.columns else ROW
+
+
+def split_rows(params: DataFrame, width: int, values: str = "values") -> DataFrame:
+    """Records of at most ``width`` entries, each with the column it begins at.
+
+    Records that are blocks already are cut further; an empty one stays a record.
+    """
+    begin = F.col("start") if "start" in params.columns else F.lit(0).cast("long")
+    inner = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(width))
+    cut = params.select("*", F.explode(inner).alias("__at"))
+    return cut.withColumns(
+        {"start": begin + F.col("__at"), values: F.slice(values, F.col("__at") + 1, F.lit(width))}
+    ).drop("__at")
+
+
 def param_delta(params: DataFrame, base: str, tuned: Sequence[str]) -> DataFrame:
     """Tuned minus base for rows of tensors both have; a shape mismatch is an error."""
+    key = row_key(params)
     original = params.filter(F.col("model") == base).select(
-        *ROW, F.col("shape").alias("__shape"), F.col("values").alias("__base")
+        *key, F.col("shape").alias("__shape"), F.col("values").alias("__base")
     )
-    changed = params.filter(F.col("model").isin(*tuned)).select("model", "tensor", "shape", "row_idx", "values")
+    changed = params.filter(F.col("model").isin(*tuned)).select("model", "shape", *key, "values")
     mismatch = F.raise_error(F.concat(F.lit("shape mismatch in "), F.col("tensor"), F.lit(" of "), F.col("model")))
     delta = F.when(F.col("shape") == F.col("__shape"), row_delta(F.col("values"), F.col("__base"))).otherwise(
         mismatch.cast("array<float>")
     )
-    return changed.join(original, list(ROW)).select("model", "tensor", "shape", "row_idx", delta.alias("delta"))
+    places = [c for c in key if c not in ROW]
+    return changed.join(original, list(key)).select("model", "tensor", "shape", "row_idx", *places, delta.alias("delta"))
 
 
 def update_sparsity(delta: DataFrame, threshold: float = UPDATE_THRESHOLD) -> DataFrame:
@@ -81,14 +103,15 @@ def update_overlap(delta: DataFrame, tuned: Sequence[str], threshold: float = UP
         raise ValueError("overlap needs two or more models")
     spark = delta.sparkSession
     names = F.array(*[F.lit(n) for n in tuned])
+    key = row_key(delta)
     marked = delta.filter(F.col("model").isin(*tuned)).select(
-        *ROW,
+        *key,
         F.struct(
             F.array_position(names, F.col("model")).alias("ord"),
             updated_positions(F.col("delta"), threshold).alias("at"),
         ).alias("update"),
     )
-    per_row = marked.groupBy(*ROW).agg(F.collect_list("update").alias("updates"))
+    per_row = marked.groupBy(*key).agg(F.collect_list("update").alias("updates"))
 
     def pairs(updates):
         return F.flatten(

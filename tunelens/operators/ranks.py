@@ -78,13 +78,14 @@ def _product(table: pa.Table) -> pa.Table:
     key = _first(table, (*_KEYS, "low", "high"))
     blocks = table.column("blocks")[0].as_py()
     is_wide = key["cols"] > key["rows"]
-    strip, at = (table.column(c).to_numpy() for c in ("strip", "at"))
+    strip, at, offset = (table.column(c).to_numpy() for c in ("strip", "at", "start"))
     values = _lists(table)
 
     def tile(which: int) -> np.ndarray:
         mine = np.flatnonzero(strip == which)
-        mine = mine[np.argsort(at[mine], kind="stable")]
-        matrix = np.stack([values[i] for i in mine])
+        mine = mine[np.lexsort((offset[mine], at[mine]))]
+        # A row may have come in several records.
+        matrix = np.concatenate([values[i] for i in mine]).reshape(len(np.unique(at[mine])), -1)
         return matrix.T if is_wide else matrix
 
     left = tile(key["low"])
@@ -108,7 +109,7 @@ def _products(cut: DataFrame) -> DataFrame:
     # A strip's rows meet those of every other strip in the same block.
     paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1))).select(
         *_KEYS, "block", "blocks", F.least("strip", "other").alias("low"), F.greatest("strip", "other").alias("high"),
-        "strip", "at", "values",
+        "strip", "at", "start", "values",
     )
     shares = paired.groupBy(*_KEYS, "block", "low", "high").applyInArrow(_product, _CHUNK)
     return shares.groupBy(*_KEYS, "low", "high", "chunk").applyInArrow(_summed, _CHUNK)
@@ -303,14 +304,23 @@ def delta_rank(
     is_wide = F.col("cols") > F.col("rows")
     # A row of a tall matrix lies in one block and goes through all strips; of a wide one the reverse.
     step = F.when(is_wide, F.col("block_height")).otherwise(F.col("strip_width"))
-    pieces = F.sequence(F.lit(0).cast("long"), F.col("cols") - 1, F.least(step, F.col("cols")))
-    cut = flat.select("*", F.explode(pieces).alias("start")).select(
+    # A record's pieces end where tiles do; it may be a block of a row itself.
+    begin = (F.col("start") if "start" in delta.columns else F.lit(0)).cast("long")
+    flat = flat.withColumns({"step": step, "begin": begin, "end": begin + F.size("delta")}).filter("end > begin")
+    cuts = F.sequence(int_div(F.col("begin"), F.col("step")), int_div(F.col("end") - 1, F.col("step")))
+    cut = flat.select("*", F.explode(cuts).alias("cut")).withColumns(
+        {"start": F.greatest("begin", F.col("cut") * F.col("step")), "stop": F.least("end", (F.col("cut") + 1) * F.col("step"))}
+    )
+    cut = cut.select(
         *_KEYS,
         int_div(F.when(is_wide, F.col("start")).otherwise(F.col("at_row")), F.col("block_height")).alias("block"),
         "blocks",
         int_div(F.when(is_wide, F.col("at_row")).otherwise(F.col("start")), F.col("strip_width")).alias("strip"),
         F.col("at_row").alias("at"),
-        F.slice("delta", (F.col("start") + 1).cast("int"), step.cast("int")).cast("array<double>").alias("values"),
+        "start",
+        F.slice(
+            "delta", (F.col("start") - F.col("begin") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")
+        ).cast("array<double>").alias("values"),
     )
     other = (
         chosen.filter(F.size(shape) != 2)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunelens.functions.common import let
 
-# How a large-file pointer starts and what closes a traceback.
+# How a large-file pointer starts, and what opens and closes a traceback.
 POINTER_START = "version https://git-lfs"
-EXCEPTION_LINE = r"^[A-Za-z_][\w.]*(Error|Exception|Interrupt|Exit|Warning)(\(\w*\))?(:|$)"
+TRACEBACK_LINE = "Traceback (most recent call last):"
+EXCEPTION_LINE = r"^[A-Za-z_][\w.]*(\(\w*\))?(:|$)"
+
+# Lines of one log handled together; borders are carried over.
+SECTION_LINES = 4_096
 
 
 def parse_summaries(df: DataFrame, text: str = "text") -> DataFrame:
@@ -58,14 +62,46 @@ def pointer_runs(lines: DataFrame, run: str = "run_id") -> DataFrame:
     return lines.filter((F.col("line_no") == 0) & is_pointer(F.col("value"))).select(run)
 
 
-def failure_reason(lines: DataFrame, run: str = "run_id") -> DataFrame:
-    """The last line of each run's log that names an exception.
+def failure_reason(lines: DataFrame, run: str = "run_id", section_lines: int = SECTION_LINES) -> DataFrame:
+    """The exception that closes the last traceback of each run's log.
+
+    A traceback opens with its own line and goes on over indented lines; the next line that is not
+    indented closes it. Where further indented lines follow that one, they tell its cause, which the
+    next such line closes. Lines that merely look like an exception elsewhere in a log do not count.
 
-    The filter runs before the grouping, so a run of any length shuffles at most
-    one candidate per task.
+    Logs are numbered from 0 without gaps and may be of any length: each is handled in sections, and
+    the last line of a section and whether a traceback is open are carried over its border. Only marks
+    of lines are shuffled, and the text of those that could close a traceback.
     """
-    return (
-        lines.filter(F.rlike(F.col("value"), F.lit(EXCEPTION_LINE)))
-        .groupBy(run)
-        .agg(F.max_by("value", "line_no").alias("reason"))
+    value = F.coalesce(F.col("value"), F.lit(""))
+    kind = (
+        F.when(F.startswith(value, F.lit(TRACEBACK_LINE)), "opens")
+        .when(F.rlike(value, F.lit(r"^[ \t]*\r?$")), "blank")
+        .when(F.rlike(value, F.lit(r"^[ \t]")), "inner")
+        .otherwise("other")
+    )
+    text = F.when(F.rlike(value, F.lit(EXCEPTION_LINE)), value)
+    section = F.floor(F.col("line_no") / section_lines).alias("section")
+    marked = lines.select(F.col(run).alias("run"), section, "line_no", kind.alias("kind"), text.alias("text"))
+
+    keys = ["run", "section"]
+    inside = Window.partitionBy(*keys).orderBy("line_no")
+    sections = Window.partitionBy("run").orderBy("section")
+    last = marked.groupBy(*keys).agg(F.max_by("kind", "line_no").alias("last"))
+    before = last.select(*keys, F.lag("last").over(sections).alias("carried"))
+    known = marked.join(before.filter("carried is not null"), keys, "left").withColumn(
+        "prior", F.coalesce(F.lag("kind").over(inside), F.col("carried"))
+    )
+    # What stands alone begins something else: a traceback, or not.
+    continues = F.coalesce(F.col("prior").isin("opens", "inner"), F.lit(False))
+    begins = F.when(F.col("kind") == "opens", F.lit(True)).when((F.col("kind") == "other") & ~continues, F.lit(False))
+    begun = known.withColumn("begins", begins)
+    ends = begun.groupBy(*keys).agg(
+        F.max_by("begins", F.when(F.col("begins").isNotNull(), F.col("line_no"))).alias("left_open")
     )
+    earlier = sections.rowsBetween(Window.unboundedPreceding, -1)
+    open_before = ends.select(*keys, F.last("left_open", ignorenulls=True).over(earlier).alias("open_before"))
+    state = F.coalesce(F.last("begins", ignorenulls=True).over(inside), F.col("open_before"))
+    found = begun.join(open_before.filter("open_before"), keys, "left").withColumn("open", state)
+    closing = (F.col("kind") == "other") & F.col("begins").isNull() & F.col("open") & F.col("text").isNotNull()
+    return found.filter(closing).groupBy(F.col("run").alias(run)).agg(F.max_by("text", "line_no").alias("reason"))

@@ -85,7 +85,8 @@ def samples(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     options = [
         F.concat(F.lit(f"Option {letter} of "), conv.cast("string")) for letter in "ABCD"
     ]
-    rows = _replies(spark, sf_dir).select(
+    # Every turn is a sample; only assistant turns have a response, so the others count as missing.
+    rows = table(spark, sf_dir, "conversations").select(
         F.when(conv % 2 == 0, "validation").otherwise("test").alias("split"),
         conv.alias("prompt_id"),
         turn.alias("sample_id"),
@@ -105,7 +106,7 @@ SAMPLES_SQL = """samples AS (
     'Context ' || CAST(conv_id AS VARCHAR) AS context, text AS query,
     (conv_id // 2 + turn) % 4 AS correct_option,
     row_number() OVER (PARTITION BY conv_id % 2 ORDER BY conv_id, turn) - 1 AS idx
-  FROM conversations WHERE role = 'assistant')"""
+  FROM conversations)"""
 
 
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,22 +364,35 @@ PHASES_SQL = """phases AS (
   FROM events)"""
 
 
+_FRAME = "Traceback (most recent call last):\n  File \"run.py\", line 1, in fit\n    step()\n"
+_LOGGED = "ValueError: only logged"
+_AGAIN = "\n\nDuring handling of the above exception, another exception occurred:\n\n"
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a run's log; two of three end in a failure."""
-    doc = F.col("doc_id")
-    end = (
-        F.when(doc % 3 == 0, F.concat(F.lit("\nValueError: bad value "), doc.cast("string"), F.lit("\nstopping")))
-        .when(doc % 3 == 1, F.concat(F.lit("\nKeyError: 'x'\nat last\nlib.TaskError(OutOfMemoryError): run "), doc.cast("string")))
-        .otherwise("")
+    """Each document as a run's log; two of three end in a traceback, one of them chained and with a cause."""
+    doc = F.col("doc_id").cast("string")
+    plain = F.concat(F.lit(f"\n{_LOGGED}\n{_FRAME}ValueError: bad value "), doc, F.lit(f"\nstopping\n{_LOGGED}"))
+    chained = F.concat(
+        F.lit(f"\n{_FRAME}KeyError: 'x'{_AGAIN}{_FRAME}lib.TaskError(OutOfMemoryError): run "), doc,
+        F.lit("\n           ^^^^\n  File \"step.py\", line 2\nlib.OutOfMemory: of "), doc,
     )
+    end = F.when(F.col("doc_id") % 3 == 0, plain).when(F.col("doc_id") % 3 == 1, chained).otherwise(f"\n{_LOGGED}")
     return table(spark, sf_dir, "documents").select(
-        doc.alias("run_id"), F.posexplode(F.split(F.concat(F.col("text"), end), "\n")).alias("line_no", "value")
+        F.col("doc_id").alias("run_id"),
+        F.posexplode(F.split(F.concat(F.col("text"), end), "\n")).alias("line_no", "value"),
     )
 
 
-LOG_LINES_SQL = """logs AS (
+def _sql_text(text: str) -> str:
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n"))
+
+
+LOG_LINES_SQL = f"""logs AS (
   SELECT doc_id AS run_id, string_split(text || CASE doc_id % 3
-      WHEN 0 THEN chr(10) || 'ValueError: bad value ' || doc_id || chr(10) || 'stopping'
-      WHEN 1 THEN chr(10) || 'KeyError: ''x''' || chr(10) || 'at last' || chr(10) || 'lib.TaskError(OutOfMemoryError): run ' || doc_id
-      ELSE '' END, chr(10)) AS lines FROM documents),
+      WHEN 0 THEN {_sql_text(chr(10) + _LOGGED + chr(10) + _FRAME + "ValueError: bad value ")} || doc_id
+        || {_sql_text(chr(10) + "stopping" + chr(10) + _LOGGED)}
+      WHEN 1 THEN {_sql_text(chr(10) + _FRAME + "KeyError: 'x'" + _AGAIN + _FRAME + "lib.TaskError(OutOfMemoryError): run ")} || doc_id
+        || {_sql_text(chr(10) + "           ^^^^" + chr(10) + '  File "step.py", line 2' + chr(10) + "lib.OutOfMemory: of ")} || doc_id
+      ELSE {_sql_text(chr(10) + _LOGGED)} END, chr(10)) AS lines FROM documents),
 log_lines AS (SELECT run_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS value FROM logs)"""

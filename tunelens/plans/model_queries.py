@@ -12,17 +12,19 @@ from tunelens.operators.checkpoints import (
     overall_sparsity,
     param_delta,
     select_tensors,
+    split_rows,
     update_overlap,
     update_sparsity,
 )
 from tunelens.operators.gradients import grad_metrics, grad_norm, grad_sparsity, to_metrics
-from tunelens.operators.logits import divergence_loss, position_divergence
+from tunelens.operators.logits import divergence_loss, position_divergence, split_position_divergence
 from tunelens.operators.ranks import delta_rank
-from tunelens.operators.runs import args_to_map, failure_reason, is_pointer
+from tunelens.operators.runs import POINTER_START, args_to_map, failure_reason, is_pointer, pointer_runs
 from tunelens.plans import adapters as a
+from tunelens.plans.checkpoint_report import checkpoint_report
 from tunelens.plans.evaluation_queries import rounded
 from tunelens.session import work_path
-from tunelens.sources.runs import load_runs
+from tunelens.sources.runs import load_runs, read_run_logs
 from tunelens.streaming.gradients import latest_metrics, start_metrics, streaming_metrics
 
 MASKED = (3, 17)
@@ -67,6 +69,25 @@ def q_position_jsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_position.select("vec_id", "seq_id", "pos", rounded("divergence"))
 
 
+def _split_logits(spark: SparkSession, sf_dir: str, blocks: int = 4) -> DataFrame:
+    """Each position's logits as so many rows."""
+    width = a.VOCAB // blocks
+    rows = a.logits(spark, sf_dir).withColumn("start", F.explode(F.array(*[F.lit(b * width) for b in range(blocks)])))
+    part = lambda c: F.slice(c, F.col("start") + 1, F.lit(width)).alias(c)
+    return rows.select("vec_id", "seq_id", "pos", "loss_mask", "start", part("student_logits"), part("teacher_logits"))
+
+
+def q_split_position_jsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _split_logits(spark, sf_dir)
+    found = split_position_divergence(rows, ["vec_id", "seq_id", "pos"], mask_ids=MASKED)
+    return found.select("vec_id", "seq_id", "pos", rounded("divergence"))
+
+
+def q_split_reverse_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = split_position_divergence(_split_logits(spark, sf_dir), ["vec_id", "seq_id", "pos"], loss="rkl", clip=None)
+    return found.select("vec_id", "seq_id", "pos", rounded("divergence"))
+
+
 def q_divergence_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_loss(a.logits(spark, sf_dir), by=["seq_id"], avg_tokens=7).select("seq_id", "tokens", rounded("loss"))
 
@@ -124,6 +145,30 @@ def q_delta_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_rank(_delta(spark, sf_dir))
 
 
+def _blocked_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas of rows that come in records of 24 entries."""
+    return param_delta(split_rows(a.params(spark, sf_dir), 24), a.BASE, a.TUNED)
+
+
+def q_blocked_sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return update_sparsity(_blocked_delta(spark, sf_dir)).select("model", "tensor", "params", "unchanged", rounded("sparsity"))
+
+
+def q_blocked_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    overlap = update_overlap(_blocked_delta(spark, sf_dir), a.TUNED)
+    return overlap.select("model_a", "model_b", "in_both", "in_either", rounded("overlap"))
+
+
+def q_blocked_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_rank(_blocked_delta(spark, sf_dir), block_cells=2_500)
+
+
+def q_checkpoint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reported tensors of every tuned model, with sparsity and rank side by side."""
+    tensors = checkpoint_report(a.params(spark, sf_dir), a.BASE, a.TUNED)["tensors"]
+    return tensors.select("model", "tensor", "params", rounded("sparsity"), "rank", "max_rank")
+
+
 def q_update_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = _delta(spark, sf_dir).select("model", "tensor", F.posexplode(update_mask(F.col("delta"))).alias("i", "updated"))
     return marked.groupBy("model", "tensor", "i").agg(F.count_if("updated").alias("updated"))
@@ -228,11 +273,34 @@ def q_failure_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failure_reason(a.log_lines(spark, sf_dir))
 
 
+def _written_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs written as one file per source of documents, every third one a pointer, and read back."""
+    root = work_path(spark, "logs")
+    lines = a.log_lines(spark, sf_dir).withColumn("run", F.concat(F.lit("r"), F.col("run_id") % 8))
+    stub = spark.range(8).select(F.concat(F.lit("r"), F.col("id")).alias("run"), F.lit(POINTER_START).alias("value"))
+    whole = lines.filter(F.col("run_id") % 8 % 3 != 0)
+    rows = whole.repartition("run").sortWithinPartitions("run", "run_id", "line_no").select("run", "value")
+    rows.write.partitionBy("run").text(root)
+    stub.filter(F.substring("run", 2, 1).cast("int") % 3 == 0).repartition("run").write.mode("append").partitionBy("run").text(root)
+    return read_run_logs(spark, root, r"run=([^/]+)")
+
+
+def q_run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, failure and pointers of log files that were written and read back."""
+    lines = _written_logs(spark, sf_dir)
+    counted = lines.groupBy("run_id").agg(F.count("*").alias("lines"))
+    pointers = pointer_runs(lines).withColumn("pointer", F.lit(True))
+    found = counted.join(failure_reason(lines, section_lines=1_000), "run_id", "left").join(pointers, "run_id", "left")
+    return found.select("run_id", "lines", "reason", F.coalesce("pointer", F.lit(False)).alias("pointer"))
+
+
 QUERIES = {
     "log_softmax": q_log_softmax,
     "log_mixture": q_log_mixture,
     "pointwise_jsd": q_pointwise_jsd,
     "position_jsd": q_position_jsd,
+    "split_position_jsd": q_split_position_jsd,
+    "split_reverse_kl": q_split_reverse_kl,
     "divergence_loss": q_divergence_loss,
     "divergence_loss_clipped": q_divergence_loss_clipped,
     "divergence_loss_unclipped": q_divergence_loss_unclipped,
@@ -243,6 +311,10 @@ QUERIES = {
     "reported_tensors": q_reported_tensors,
     "overall_sparsity": q_overall_sparsity,
     "delta_rank": q_delta_rank,
+    "blocked_sparsity": q_blocked_sparsity,
+    "blocked_overlap": q_blocked_overlap,
+    "blocked_rank": q_blocked_rank,
+    "checkpoint_report": q_checkpoint_report,
     "update_mask": q_update_mask,
     "update_overlap": q_update_overlap,
     "grad_norm": q_grad_norm,
@@ -253,10 +325,11 @@ QUERIES = {
     "run_args": q_run_args,
     "pointer_files": q_pointer_files,
     "failure_reason": q_failure_reason,
+    "run_logs": q_run_logs,
 }
 
 _r = lambda x, n=6: f"round(CAST({x} AS DOUBLE), {n}) + 0.0"
-_EXCEPTION = r"^[A-Za-z_][A-Za-z0-9_.]*(Error|Exception|Interrupt|Exit|Warning)(\([A-Za-z0-9_]*\))?(:|$)"
+_EXCEPTION = r"^[A-Za-z_][A-Za-z0-9_.]*(\([A-Za-z0-9_]*\))?(:|$)"
 
 # Deltas are multiples of 1/1024, so the rank is that of whole numbers: elimination modulo the prime
 # 2**31 - 1, column by column, by cross multiplication with the first row that is not zero there.
@@ -334,6 +407,33 @@ FROM events GROUP BY event_type || '-' || (user_id % 8)""",
     "run_args": """SELECT event_id, 3 AS n_flags, CAST(event_id AS VARCHAR) AS event, event_type AS type,
   CAST(user_id AS VARCHAR) AS user_id FROM events""",
     "pointer_files": """SELECT source, count(*) FILTER (WHERE doc_id % 10 = 0) AS pointers, count(*) AS files FROM documents GROUP BY source""",
-    "failure_reason": f"""WITH {a.LOG_LINES_SQL}
-SELECT run_id, arg_max(value, line_no) AS reason FROM log_lines WHERE regexp_matches(value, '{_EXCEPTION}') GROUP BY run_id""",
+    "failure_reason": f"""WITH {a.LOG_LINES_SQL},
+kinds AS (
+  SELECT *, CASE WHEN starts_with(value, 'Traceback (most recent call last):') THEN 'opens'
+      WHEN regexp_full_match(value, '[ \t]*\r?') THEN 'blank' WHEN regexp_matches(value, '^[ \t]') THEN 'inner' ELSE 'other' END AS kind
+  FROM log_lines),
+priors AS (SELECT *, lag(kind) OVER (PARTITION BY run_id ORDER BY line_no) AS prior FROM kinds),
+begun AS (
+  SELECT *, kind = 'opens' OR kind = 'other' AND coalesce(prior NOT IN ('opens', 'inner'), true) AS begins FROM priors),
+parts AS (SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY run_id ORDER BY line_no) AS part FROM begun),
+opened AS (SELECT run_id, part FROM parts WHERE kind = 'opens')
+SELECT run_id, arg_max(value, line_no) AS reason FROM parts JOIN opened USING (run_id, part)
+WHERE kind = 'other' AND NOT begins AND regexp_matches(value, '{_EXCEPTION}') GROUP BY run_id""",
+}
+
+# The same results from rows that are cut into blocks.
+ORACLES |= {
+    "split_position_jsd": ORACLES["position_jsd"],
+    "split_reverse_kl": ORACLES["reverse_kl"],
+    "blocked_sparsity": ORACLES["update_sparsity"],
+    "blocked_overlap": ORACLES["update_overlap"],
+    "blocked_rank": ORACLES["delta_rank"],
+    "checkpoint_report": f"""SELECT model, tensor, params, sparsity, rank, max_rank
+FROM ({ORACLES['reported_tensors']}) JOIN ({ORACLES['delta_rank']}) USING (model, tensor)""",
+    "run_logs": f"""WITH {a.LOG_LINES_SQL},
+runs AS (SELECT 'r' || (run_id % 8) AS run_id, arg_max(run_id, run_id) AS last, count(*) AS lines FROM log_lines
+  WHERE run_id % 8 % 3 <> 0 GROUP BY ALL)
+SELECT r.run_id, lines, (SELECT arg_max(reason, x.run_id) FROM ({ORACLES['failure_reason']}) x
+    WHERE 'r' || (x.run_id % 8) = r.run_id) AS reason, false AS pointer FROM runs r
+UNION ALL SELECT 'r' || i, 1, NULL, true FROM range(8) t(i) WHERE i % 3 = 0""",
 }

@@ -26,6 +26,8 @@ _WIDTHS = {
         "audit_rows": ["truth"],
         "position_jsd": ["pos"],
         "reverse_kl": ["pos"],
+        "split_position_jsd": ["pos"],
+        "split_reverse_kl": ["pos"],
         "update_mask": ["i"],
     },
     "BIGINT": {

@@ -7,13 +7,19 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 PARAM_COLUMNS = ("model", "tensor", "shape", "row_idx", "values")
 
 
 def read_split(spark: SparkSession, root: str, split: str) -> DataFrame:
-    """One split of a tree written by ``write_splits``; other splits are not listed."""
-    return spark.read.parquet(root).filter(F.col("split") == split)
+    """One split of a tree written by ``write_splits``, by its exact name; other splits are not read.
+
+    Folder names are text: typed by their looks, "01" and "1" would be one split.
+    """
+    found = spark.read.parquet(root).schema
+    named = StructType([StructField(f.name, StringType()) if f.name == "split" else f for f in found])
+    return spark.read.schema(named).parquet(root).filter(F.col("split") == split)
 
 
 def read_all(spark: SparkSession, path: str) -> DataFrame:
@@ -57,5 +63,6 @@ def peek(df: DataFrame, n: int, order_by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
-    """Parameter tables of a base and its tuned models, one matrix row per record."""
-    return spark.read.parquet(path).select(*PARAM_COLUMNS)
+    """Parameter tables of a base and its tuned models, one matrix row, or block of one, per record."""
+    found = spark.read.parquet(path)
+    return found.select(*PARAM_COLUMNS, *[c for c in ("start",) if c in found.columns])
