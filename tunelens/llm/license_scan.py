@@ -20,7 +20,7 @@ their names; the new ones are a struct whose name is a parameter.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -348,8 +348,12 @@ class Scanner:
             if all(holds(codes[first : last + 1].tolist(), phrase) for phrase in self.telling[number])
         ]
         kept: list[tuple] = []
+        owners: dict[int, list[int]] = {}  # kept spans that hold a word
         for span in sorted(found, key=lambda s: (-s[0], -s[1], *s[2:5])):
-            if not any(2 * len(k[5] & span[5]) > span[0] for k in kept):
+            shared = Counter(owner for word in span[5] for owner in owners.get(word, ()))
+            if 2 * max(shared.values(), default=0) <= span[0]:
+                for word in span[5]:
+                    owners.setdefault(word, []).append(len(kept))
                 kept.append(span)
         return [
             {"label": label, "first_word": first, "last_word": last, "cover": cover}
