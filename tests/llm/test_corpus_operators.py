@@ -146,6 +146,12 @@ def test_line_dedup_edge_cases(spark, awkward):
     assert line_dedup.drop_repeats(awkward.limit(0)).count() == 0
 
 
+def test_line_dedup_replaces_columns_of_its_names(spark, awkward):
+    out = line_dedup.drop_repeats(awkward)
+    assert sorted(out.columns) == sorted({*awkward.columns, "n_lines", "n_gone", "kept"})
+    assert out.count() == awkward.count() and out.schema["kept"].dataType.typeName() == "boolean"
+
+
 def test_scores(spark):
     rng = random.Random(4)
     common, rare = [f"c{i}" for i in range(20)], [f"r{i}" for i in range(400)]

@@ -175,7 +175,8 @@ def repeated_runs(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     marks = lines.select("id", "hash", F.explode("marks").alias("mark"), "codes").select(
         "id", "hash", "mark", F.get("codes", F.col("mark")).alias("code")
     )
-    several = marks.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
+    # Stored, so the join can split a code, or a run, that stands in a third of all documents.
+    several = materialise(marks.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code"))
     anchors = marks.join(several, "code").groupBy("id", "hash").agg(F.collect_set("mark").alias("anchors"))
     # Rows with equal id and text are one document.
     anchored = (
@@ -185,7 +186,7 @@ def repeated_runs(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     )
     runs = materialise(anchored.mapInArrow(_window_rows(least), WINDOWS))
     places = F.struct("id", "hash", "first")
-    firsts = (
+    firsts = materialise(
         runs.groupBy("key1", "key2")
         .agg(F.min(places).alias("earliest"), F.count("*").alias("n"))
         .filter("n > 1")
@@ -204,7 +205,11 @@ def repeated_runs(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 def drop_repeats(
     documents: DataFrame, least: int = MIN_WORDS, names: tuple[str, str, str] = ("n_lines", "n_gone", "kept")
 ) -> DataFrame:
-    """All input columns with the shortened text, and how many lines it had and lost, and kept."""
+    """All input columns with the shortened text, and how many lines it had and lost, and kept.
+
+    ``names`` are those of the three added columns; input columns of the same names are replaced.
+    """
+    documents = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in names])
     columns = [F.col(f"`{c}`") for c in documents.columns]
     keyed = documents.withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__hash": F.xxhash64("text")}
