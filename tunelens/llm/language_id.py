@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tunelens.llm.tokens import Words, chunks, mix
 
+ORDER_RANGES = 1_024
 MAX_DOCUMENTS = 2_000
 MAX_WORDS = 20_000
 MAX_GRAMS = 10_000
@@ -166,12 +167,21 @@ def fit(
     max_words: int = MAX_WORDS,
     max_grams: int = MAX_GRAMS,
 ) -> Model:
-    """The model of text and lang columns; rows without a language teach nothing."""
+    """The model of text and lang columns; rows without a language, a text or an id teach nothing."""
     order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    # How many ids each of ORDER_RANGES ranges of the order holds tells where the first max_documents
+    # end, so no task sorts all ids of a language.
+    placed = labelled.select("doc_id", "lang", order.alias("__order"))
+    size = 2**32 // ORDER_RANGES
+    ranges = placed.groupBy("lang", F.floor(F.col("__order") / size).alias("range")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("range")) - F.col("n")
+    ends = ranges.withColumn("before", before).filter(F.col("before") < max_documents)
+    ends = ends.groupBy("lang").agg(((F.max("range") + 1) * size).alias("__end"))
     first = Window.partitionBy("lang").orderBy("__order", "doc_id")
     chosen = (
-        labelled.select("doc_id", "lang", order.alias("__order"))
+        placed.join(ends, "lang")
+        .filter(F.col("__order") < F.col("__end"))
         .withColumn("__place", F.row_number().over(first))
         .filter(F.col("__place") <= max_documents)
         .select("doc_id", "lang")
@@ -221,6 +231,9 @@ def language_of(text: Column, model: Model) -> Column:
 
 
 def identify(documents: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All input columns and the predicted language with its score."""
+    """All input columns and the predicted language with its score.
+
+    Input columns that have the names of these two are replaced.
+    """
     found = documents.withColumn("__found", language_of(F.col("text"), model))
     return found.withColumns({lang: F.col("__found.lang"), score: F.col("__found.score")}).drop("__found")
