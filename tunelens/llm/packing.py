@@ -7,8 +7,8 @@ compatible, so the tightest compatible bin is always found, or a new one opened.
 bitmaps: one bit for each duplicate cluster, which may occur once, and for each source one bit in
 each of SOURCE_PLANES planes, so a source may occur that many times.
 
-Documents are dealt by the hash of their id into groups of about GROUP_ROWS, each packed by one
-task; a source or cluster that holds a third of all rows is spread over all groups. Groups have at
+Documents are dealt by the hash of their id, text and partition into groups of about GROUP_ROWS, each
+packed by one task; a source or cluster that holds a third of all rows is spread over all groups. Groups have at
 most one nearly empty bin or, for clusters, as many bins as copies, so splitting costs little. Only
 ids, lengths, sources and cluster hashes are shuffled, never texts.
 
@@ -112,7 +112,8 @@ def pack(
         F.col("source").cast("string"),
         cluster.cast("long").alias("cluster"),
         F.greatest(F.coalesce(found, F.lit(0)), F.lit(0)).cast("long").alias("n"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group"),
+        # Null and repeated ids, and even equal rows, are spread as well.
+        F.pmod(F.xxhash64(F.xxhash64("doc_id"), F.xxhash64("text"), F.spark_partition_id()), F.lit(groups)).alias("group"),
     )
     schema = pa.schema(
         [(c, pa.string() if c == "source" else pa.int64()) for c in (x.split()[0] for x in PLACED.split(", "))]
