@@ -206,6 +206,65 @@ def test_contexts_are_counted_over_all_training_documents(spark):
     assert not np.allclose(model.weights, 0.3)
 
 
+def test_starting_weights_are_fitted_on_all_training_documents(spark):
+    """A logistic regression over every decision of all texts, each without its own count, however rows are dealt."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tunelens.llm.tokens import Words
+
+    rng = random.Random(11)
+    part = lambda i: zlib.crc32(str(i).encode()) % 10
+    say = lambda: " ".join(rng.choice("aaabbcdefgh") for _ in range(rng.randint(0, 30)))
+    rows = [(i, say()) for i in range(400) if part(i) not in (0, 9)] + [(None, "a b"), (7, None)]
+    training = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = context_mixing.word_counts(training.select("text"))
+    model = context_mixing.fit(training.repartition(5), counts, vocabulary=6)
+    again = context_mixing.fit(training.coalesce(1), counts, vocabulary=6)
+    assert (model.weights == again.weights).all() and (model.table == again.table).all()
+
+    number = {int(w): i for i, w in enumerate(model.words)}
+    code = dict(zip("abcdefgh", Words(pa.array(list("abcdefgh"))).codes().tolist()))
+    ids = [[number.get(code[w], model.escape) for w in (t or "").split()] + [model.end] for _, t in rows]
+    decisions = []
+    for text in ids:
+        _, bit, depth, slots = model.decisions(np.array(text), np.zeros(len(text), int))
+        decisions += zip(bit.tolist(), depth.tolist(), zip(*(s.tolist() for s in slots)))
+    seen = Counter((s, bit) for bit, _, slots in decisions for s in slots)
+    slope = np.zeros((384, 5))
+    for bit, depth, slots in decisions:
+        inputs, level = [], []
+        for s in slots:
+            zeros, ones = seen[s, 0] - (bit == 0), seen[s, 1] - (bit == 1)
+            odds = round(max(-12, min(12, math.log((ones + 0.4) / (zeros + 0.4)))) / 0.025) * 0.025
+            inputs.append(context_mixing.MIDDLES[sum(odds >= e for e in context_mixing.EDGES)])
+            level.append(sum(zeros + ones >= least for least in (1, 4, 16)))
+        gate = (depth * 4 + level[1]) * 4 + level[2]
+        x = np.array([*inputs, 1.0])
+        slope[gate] += (1 / (1 + math.exp(-model.weights[:, gate].astype(float) @ x)) - bit) * x
+    slope += model.weights.T - 0.3
+    taken = np.abs(model.weights.T - 0.3).max(1) > 0
+    assert taken.sum() > 5 and np.abs(slope).max() < 0.02
+
+
+def test_stored_token_ids_are_those_of_the_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    from tunelens.llm.tokens import Words
+
+    texts = pa.array(["a b c a", "", "c zz b", "a"])
+    for more in (0, 2**16):
+        codes = np.concatenate([np.unique(Words(texts).codes()), np.arange(more, dtype=np.uint64)])
+        model = context_mixing.Model(codes, np.ones(len(codes), np.int64), len(codes) + 9, len(codes) + 5, 4)
+        whole = next(model.parts(texts))
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(whole[1]))]) * model.stored.itemsize
+        data = whole[0].astype(model.stored).tobytes()
+        stored = pa.array([b"", *(data[a:b] for a, b in zip(bounds[:-1], bounds[1:]))], pa.binary()).slice(1)
+        found = next(model.parts(stored))
+        assert all(np.array_equal(a, b) for a, b in zip(whole, found)) and model.stored.itemsize == (4 if more else 2)
+
+
 def test_context_tables_grow_with_the_training_text():
     import numpy as np
 

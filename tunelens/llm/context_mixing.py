@@ -5,9 +5,9 @@ escape for all other words have Huffman codes, so a token is some ten binary dec
 decision four predictors, the node of the code alone and the node hashed with one word before, with
 two words before and with the word before last, tell the log odds counted over the training text.
 A logistic mixer adds them up with weights chosen by a gate (depth in the code and how often the
-hashed contexts were seen). The weights start from values fitted beforehand and are refined for each
-document while it is read: every block of BLOCK tokens is coded with the weights learned from all
-blocks of the text before it, however long the text is. An escaped word is then told apart by its
+hashed contexts were seen). The weights start from values fitted on all training text and are refined
+for each document while it is read: every block of BLOCK tokens is coded with the weights learned from
+all blocks of the text before it, however long the text is. An escaped word is then told apart by its
 smoothed training count among all other words.
 
 Counts of all words grow with the corpus and stay a Spark table, joined with the rare words of the
@@ -15,9 +15,14 @@ scored texts; words that are too common for such a join are the vocabulary. Each
 has as many slots as there are training tokens, rounded up to a power of two, up to ``most_slots``:
 what tasks receive is bounded, two bytes a slot and VOCABULARY words. Counts are added up in each
 task and travel as compressed ranges of slots, which are summed as they arrive; the driver sees the
-packed slots only. All training documents are counted, whatever their length. Only the starting
-weights are fitted on a bounded sample, MAX_CALIBRATION training documents, whole, with their own
-counts taken out of the predictors for that while.
+packed slots only. Slots of LINE_DEPTH levels of the code lie together, so a token touches few lines
+of memory. All training documents are counted, whatever their length.
+
+The starting weights are a logistic regression over every decision of every training document, each
+seen as if it had not been counted itself. Per gate, decisions are counted by their bit and by the
+interval (EDGES) of each predictor's log odds; these counts are added up over all tasks, so the weights
+do not depend on how rows are dealt out, and a gate is fitted where its sums are. A text is tokenised
+once, after its words are counted; later passes read the token ids.
 
 Defined results: null text is empty, one end token; without training documents every count is 0,
 which the smoothing covers; repeated rows are scored one by one; null ids count as empty text for
@@ -41,24 +46,32 @@ from tunelens.session import materialise
 VOCABULARY = 65_000
 LEAST_SLOTS, MOST_SLOTS = 2**16, 2**22  # of each hashed predictor; between them as many as training tokens
 RANGE = 2**16  # slots whose counts travel together
-MAX_CALIBRATION = 1_000
 CHUNK = 800_000  # bytes of text coded at once: about 1,200,000 decisions
+CHUNK_TOKENS = 120_000  # the same for stored tokens
 BLOCK = 48  # tokens coded with the same weights
 RATE = 0.015
-SHARE = 50  # decisions of one gate in a block
 SMOOTHING = 0.1  # of word counts
 ODDS = 0.4  # added to both counts of a decision
 STEP = 0.025  # of stored log odds, which lie within 12.8 of 0
 DEPTHS = 24
+LINE_DEPTH = 4  # levels of the code whose slots for one context lie together
 LEVELS = 4  # how often a hashed context was seen: never, 1-3, 4-15, more
 INPUTS = 5  # four predictors and a constant
-
-ODDS_OF = ((np.arange(1024) - 512) * STEP).astype(np.float32)
+START = 0.3  # weights of a gate that training text never takes; others are drawn to it as by one decision
+EDGES = np.array([-7, -4, -2, -0.8, -0.2, 0.2, 0.8, 2, 4, 7])  # between intervals of log odds
+MIDDLES = np.concatenate([[EDGES[0] - 1], (EDGES[1:] + EDGES[:-1]) / 2, [EDGES[-1] + 1]])
+INTERVALS = len(MIDDLES)
+INTERVAL_OF = np.tile(np.digitize((np.arange(1024) - 512) * STEP, EDGES), LEVELS)  # of packed slots
+CELLS = INTERVALS ** (INPUTS - 1)
 
 COUNTED = "code long, n long"
-COUNTS = "range int, own boolean, counts binary"
+TOKENS = (
+    "uid long, doc_id long, training boolean, n_tokens long, known long, base double, n_bytes long, ids binary, "
+    "rare array<long>"
+)
+COUNTS = "range int, counts binary"
 PACKED = "range int, every binary, others binary"
-SCORED = "uid long, doc_id long, n_tokens long, known long, base double, bits double, n_bytes long, rare array<long>"
+SCORED = "uid long, doc_id long, n_tokens long, known long, base double, n_bytes long, bits double"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -101,6 +114,21 @@ class Codes:
         steps = np.array([s for p in paths for s in p], np.int64)
         self.node, self.bit = (steps >> 1).astype(np.int32), (steps & 1).astype(np.int8)
         self.nodes = n - 1
+        self._group(parent, bit)
+
+    def _group(self, parent: list[int], bit: list[int]) -> None:
+        """Depth of each node, a number shared by its group of LINE_DEPTH levels, and its place in there."""
+        top = len(parent) - 1
+        depth, root, place = ([0] * self.nodes for _ in range(3))
+        for k in range(self.nodes - 1, -1, -1):  # parents come later than their children
+            node = top + 1 - self.nodes + k
+            above = parent[node] - top - 1 + self.nodes
+            depth[k] = depth[above] + 1 if node < top else 0
+            opens = depth[k] % LINE_DEPTH == 0
+            root[k], place[k] = (k, 1) if opens else (root[above], 2 * place[above] + bit[node])
+        self.depth = np.minimum(depth, DEPTHS - 1).astype(np.int32)
+        self.salt = (mix(np.array(root, np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+        self.place = np.array(place, np.uint32)
 
     @staticmethod
     def _tree(counts: np.ndarray) -> tuple[list[int], list[int]]:
@@ -123,6 +151,23 @@ def packed(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (level << np.uint16(10)) | (np.rint(odds / STEP) + 512).astype(np.uint16)
 
 
+def odds(found: np.ndarray) -> np.ndarray:
+    """The log odds in packed slots."""
+    out = (found & np.uint16(1023)).astype(np.float32)
+    out -= 512
+    out *= np.float32(STEP)
+    return out
+
+
+def shortened(table: np.ndarray) -> bytes:
+    """Packed slots as they are sent and stored."""
+    return pa.compress(table.tobytes(), "zstd", asbytes=True) if len(table) else b""
+
+
+def restored(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 2 * n, "zstd") if n else b"", np.uint16)
+
+
 class Model:
     """Vocabulary, codes, counted log odds and starting weights: all of bounded size."""
 
@@ -139,7 +184,14 @@ class Model:
         self.codes = Codes(np.concatenate([self.counts, [max(ends, 1), max(self.rare, 1)]]))
         self.context_slots = int(np.clip(1 << max(total - 1, 0).bit_length(), LEAST_SLOTS, most_slots))
         self.table = np.full(self.slots(), packed(np.zeros(1), np.zeros(1))[0])
-        self.weights = np.full((INPUTS, self.gates()), 0.3, np.float32)
+        self.weights = np.full((INPUTS, self.gates()), START, np.float32)
+        self.stored = np.dtype("<u2" if self.escape < 2**16 else "<u4")  # of token ids in tables
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": (len(self.table), shortened(self.table))}  # each worker's copy lies on disk
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"table": restored(*reversed(state["table"]))}
 
     def slots(self) -> int:
         return self.codes.nodes + 3 * self.context_slots
@@ -164,6 +216,20 @@ class Model:
         ids[ends] = self.end
         return ids, np.repeat(np.arange(len(words.counts)), words.counts + 1), codes[~known]
 
+    def parts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Token ids, their text and the number of texts, some at a time; of texts or of stored token ids."""
+        if not pa.types.is_binary(column.type):
+            for part in chunks(column, CHUNK):
+                words = Words(column.slice(part.start, part.stop - part.start))
+                yield *self.tokens(words)[:2], len(words.counts)
+            return
+        for part in chunks(column, CHUNK_TOKENS * self.stored.itemsize):
+            some = column.slice(part.start, part.stop - part.start).cast(pa.large_binary())
+            bounds = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+            ids = np.frombuffer(some.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(self.stored)
+            number = np.diff(bounds) // self.stored.itemsize
+            yield ids.astype(np.int64), np.repeat(np.arange(len(some)), number), len(some)
+
     def decisions(self, ids: np.ndarray, doc: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """For every binary decision: its token, bit, depth and the slot of each predictor.
 
@@ -177,12 +243,13 @@ class Model:
         earlier[1:] = np.where(first[1:], self.escape + 1, before[:-1])
         if order is not None:
             ids, before, earlier = ids[order], before[order], earlier[order]
-        length = self.codes.length[ids]
+        codes, length = self.codes, self.codes.length[ids]
         token = np.repeat(np.arange(len(ids), dtype=np.int32), length)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-        step = self.codes.start[ids][token] + depth
-        node = self.codes.node[step]
-        wide = node.astype(np.uint64) + np.uint64(1)
+        step = np.repeat(codes.start[ids] - (np.cumsum(length) - length), length)
+        step += np.arange(len(step))
+        node = codes.node[step]
+        salt, place = codes.salt[node], codes.place[node]
+        shift = np.uint32(33 - self.context_slots.bit_length())
         with np.errstate(over="ignore"):
             contexts = (
                 mix(before.astype(np.uint64) + np.uint64(1 << 40)),
@@ -191,17 +258,20 @@ class Model:
             )
             slots = [node.astype(np.int64)]
             for k, context in enumerate(contexts):
-                hashed = context[token]
-                hashed ^= wide
-                hashed *= np.uint64(0x9E3779B97F4A7C15)
-                hashed >>= np.uint64(40)
-                hashed &= np.uint64(self.context_slots - 1)
-                hashed += np.uint64(self.codes.nodes + k * self.context_slots)
-                slots.append(hashed.view(np.int64))
-        return token, self.codes.bit[step], np.minimum(depth, DEPTHS - 1), slots
-
-    def cost(self, ids: np.ndarray, doc: np.ndarray, n_docs: int, shared: bool = False) -> np.ndarray:
-        """Bits of the decisions of each text; ``shared`` refines the model's own weights instead."""
+                hashed = np.repeat((context >> np.uint64(32)).astype(np.uint32), length)
+                hashed ^= salt
+                hashed *= np.uint32(0x9E3779B1)
+                hashed >>= shift
+                hashed ^= place
+                slots.append(hashed + np.int64(codes.nodes + k * self.context_slots))
+        return token, codes.bit[step], codes.depth[node], slots
+
+    def gate(self, depth: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+        """Which weights a decision takes: its depth, and how often its first two contexts were seen."""
+        return (depth * LEVELS + (found[1] >> np.uint16(10))) * LEVELS + (found[2] >> np.uint16(10))
+
+    def cost(self, ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+        """Bits of the decisions of each text."""
         starts = np.searchsorted(doc, np.arange(n_docs))
         block = (np.arange(len(ids)) - starts[doc]) // BLOCK
         if len(block) and block.max() < 2**15:
@@ -212,37 +282,39 @@ class Model:
         cuts = np.searchsorted(block[order], np.arange(int(block.max(initial=0)) + 2))
         cuts = np.searchsorted(token, cuts)
         found = [self.table[s] for s in slots]
-        inputs = [ODDS_OF[f & np.uint16(1023)] for f in found]
-        gate = (depth * LEVELS + (found[1] >> np.uint16(10))) * LEVELS + (found[2] >> np.uint16(10))
-        row = gate if shared else (doc * self.gates())[token] + gate
+        inputs = [odds(f) for f in found]
+        row = (doc * self.gates())[token] + self.gate(depth, found)
         own = np.empty(self.weights.shape, np.float32)  # np.add.at is slow on a dtype that was pickled
         own[:] = self.weights
-        if shared:
-            weights = list(own)
-        elif n_docs * self.gates() <= len(row):
+        if n_docs * self.gates() <= len(row):
             weights = [np.tile(w, n_docs) for w in own]
         else:  # many short texts: only the weights that are met
             used, row = np.unique(row, return_inverse=True)
             weights = [w[used % self.gates()] for w in own]
-        sign = np.where(bit == 1, np.float32(1), np.float32(-1))
-        cost = np.empty(len(sign), np.float32)
+        sign = bit.astype(np.float32)
+        sign *= 2
+        sign -= 1
+        wrong = np.empty(len(sign), np.float32)  # odds against the bit that came
         for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            r, s = row[start:stop], sign[start:stop]
+            r, s, odd = row[start:stop], sign[start:stop], wrong[start:stop]
             x = [i[start:stop] for i in inputs]
             logit = weights[-1][r]
             for w, value in zip(weights, x):
-                logit += w[r] * value
-            wrong = np.exp(-np.clip(logit * s, -16, 16))  # odds against the bit that came
-            cost[start:stop] = np.log1p(wrong)
-            step = RATE * s * (wrong / (1 + wrong))
-            if shared:  # a block of many texts: the mean of what is more than a text's share
-                step /= 1 + np.bincount(r)[r].astype(np.float32) / SHARE
+                some = w[r]
+                some *= value
+                logit += some
+            logit *= s
+            np.negative(logit, out=logit)
+            np.maximum(logit, -16, out=logit)
+            np.minimum(logit, 16, out=logit)
+            np.exp(logit, out=odd)
+            step = odd / (odd + 1)
+            step *= s
+            step *= np.float32(RATE)
             for w, value in zip(weights, x):
                 np.add.at(w, r, step * value)
             np.add.at(weights[-1], r, step)
-        if shared:
-            self.weights = np.stack(weights)
-        return np.bincount(doc[token], cost, n_docs) / math.log(2)
+        return np.bincount(doc[token], np.log1p(wrong), n_docs) / math.log(2)
 
 
 def counted(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -250,8 +322,7 @@ def counted(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     both = np.zeros(2 * model.slots(), np.uint32)
     met = np.zeros(len(model.codes.length), np.int64)
     for batch in batches:
-        for part in chunks(batch.column(0), CHUNK):
-            ids, doc, _ = model.tokens(Words(batch.column(0).slice(part.start, part.stop - part.start)))
+        for ids, doc, _ in model.parts(batch.column(0)):
             met += np.bincount(ids, minlength=len(met))
             _, bit, _, slots = model.decisions(ids, doc)
             for slot in slots[1:]:
@@ -262,45 +333,91 @@ def counted(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return both
 
 
-def _count_rows(model: Model, own: bool):
-    """Counts of a task by ranges of slots; ``own`` marks those of the calibration sample."""
+def squeezed(counts: np.ndarray) -> bytes:
+    """32-bit counts byte by byte, so the many zeros of small counts lie together."""
+    planes = np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def expanded(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(n)
+
+
+def _token_rows(model: Model):
+    base = np.array([model.base(c) for c in [*model.counts.tolist(), model.ends, 0]])
+    base[model.escape] = 0.0  # escaped words are added by their own counts
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch.column(3), CHUNK):
+                some = batch.slice(part.start, part.stop - part.start)
+                words = Words(some.column(3))
+                n = len(words.counts)
+                ids, doc, rare = model.tokens(words)
+                escaped = np.bincount(doc[ids == model.escape], minlength=n)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(escaped)]).astype(np.int32))
+                ended = 1 if model.ends else 0
+                data = ids.astype(model.stored).tobytes()
+                ends = (np.cumsum(words.counts + 1) * model.stored.itemsize).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *some.columns[:3],
+                        pa.array((words.counts + 1).astype(np.int64)),
+                        pa.array((words.counts - escaped + ended).astype(np.int64)),
+                        pa.array(np.bincount(doc, base[ids], n)),
+                        pa.array(np.diff(words.bounds).astype(np.int64)),
+                        pa.array([data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()),
+                        pa.ListArray.from_arrays(offsets, pa.array(rare.astype(np.int64))),
+                    ],
+                    names=["uid", "doc_id", "training", "n_tokens", "known", "base", "n_bytes", "ids", "rare"],
+                )
+
+    return rows
+
+
+def _count_rows(model: Model):
+    """Counts of a task by ranges of slots."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = counted(model, batches)
         for place, start in enumerate(range(0, len(both), 2 * RANGE)):
             some = both[start : start + 2 * RANGE]
             if some.any():
-                # Byte by byte, so the many zeros of small counts lie together.
-                planes = np.ascontiguousarray(some.view(np.uint8).reshape(-1, 4).T)
-                data = pa.compress(planes.tobytes(), "zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([place], pa.int32()), pa.array([own]), pa.array([data], pa.binary())],
-                    names=["range", "own", "counts"],
+                    [pa.array([place], pa.int32()), pa.array([squeezed(some)], pa.binary())], names=["range", "counts"]
                 )
 
     return rows
 
 
+def without_one(both: np.ndarray) -> np.ndarray:
+    """Packed slots from counts of (zero, one), as they are to a zero and to a one that was not counted itself."""
+    found = np.empty(both.shape, np.uint16)
+    for bit in range(2):
+        others = both.copy()
+        others[:, bit] = np.maximum(others[:, bit] - 1, 0)
+        found[:, bit] = packed(others.sum(1), others[:, 1])
+    return found
+
+
 def _summed(model: Model):
-    """Packed slots of each range: from all counts, and from all but those marked as the sample's own."""
+    """Packed slots of each range: from all counts, and from all others than a decision's own."""
     size = model.slots()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for place, own, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for place, data in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 width = min(RANGE, size - place * RANGE)
-                raw = np.frombuffer(pa.decompress(data, 8 * width, "zstd"), np.uint8)
-                found = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(width, 2)
-                total = sums.setdefault(place, np.zeros((2, width, 2), np.int64))
-                total[int(own)] += found
-        for place, (every, own) in sums.items():
-            others = every - own
+                total = sums.setdefault(place, np.zeros((width, 2), np.int64))
+                total += expanded(data, 2 * width).reshape(width, 2)
+        for place, every in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([place], pa.int32()),
-                    pa.array([packed(every.sum(1), every[:, 1]).tobytes()], pa.binary()),
-                    pa.array([packed(others.sum(1), others[:, 1]).tobytes()], pa.binary()),
+                    pa.array([shortened(packed(every.sum(1), every[:, 1]))], pa.binary()),
+                    pa.array([shortened(without_one(every))], pa.binary()),
                 ],
                 names=["range", "every", "others"],
             )
@@ -308,27 +425,74 @@ def _summed(model: Model):
     return rows
 
 
-def _calibrated(model: Model):
-    """Weights fitted on texts, one after the other."""
-
+def met(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """How often a zero and a one came at each gate and cell; the model's table is that ``without_one``."""
+    both = np.zeros(model.gates() * CELLS * 2, np.uint32)
+    for batch in batches:
+        for ids, doc, _ in model.parts(batch.column(0)):
+            _, bit, depth, slots = model.decisions(ids, doc)
+            found = [model.table[2 * s + bit] for s in slots]
+            at = model.gate(depth, found).astype(np.int64)
+            for f in found:
+                at *= INTERVALS
+                at += INTERVAL_OF[f]
+            np.add.at(both, 2 * at + bit, np.uint32(1))
+    return both.reshape(model.gates(), CELLS, 2)
+
+
+def _met_rows(model: Model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch.column(0), CHUNK):
-                words = Words(batch.column(0).slice(part.start, part.stop - part.start))
-                ids, doc, _ = model.tokens(words)
-                model.cost(ids, doc, len(words.counts), shared=True)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary())], names=["weights"])
+        for gate, both in enumerate(met(model, batches)):
+            if both.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([gate], pa.int32()), pa.array([squeezed(both)], pa.binary())], names=["gate", "counts"]
+                )
 
     return rows
 
 
-def fit(
-    training: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, most_slots: int = MOST_SLOTS
-) -> Model:
-    """The model of a training table (doc_id, text); ``counts`` are its word counts.
-
-    The starting weights are fitted on documents whose split number is 9, MAX_CALIBRATION at most.
-    """
+def fitted(both: np.ndarray) -> np.ndarray:
+    """Weights of a gate by Newton's method, from how often a zero and a one came at each of its cells."""
+    cells = np.flatnonzero(both.sum(1))
+    n, ones = both[cells].sum(1).astype(float), both[cells, 1].astype(float)
+    x = np.ones((len(cells), INPUTS))
+    for k in range(INPUTS - 1):
+        x[:, k] = MIDDLES[cells // INTERVALS ** (INPUTS - 2 - k) % INTERVALS]
+
+    def loss(weights: np.ndarray) -> float:
+        logit = x @ weights
+        return float((n * np.logaddexp(0, logit) - ones * logit).sum() + ((weights - START) ** 2).sum() / 2)
+
+    weights = np.full(INPUTS, START)
+    least = loss(weights)
+    for _ in range(50):
+        chance = 1 / (1 + np.exp(-(x @ weights)))
+        slope = x.T @ (n * chance - ones) + weights - START
+        curve = (x * (n * chance * (1 - chance))[:, None]).T @ x + np.eye(INPUTS)
+        step = np.linalg.solve(curve, slope)
+        while (now := loss(weights - step)) > least and np.abs(step).max() > 1e-9:
+            step /= 2
+        if least - now <= 1e-10 * least:
+            break
+        weights, least = weights - step, now
+    return weights
+
+
+def _fitted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for gate, data in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            total = sums.setdefault(gate, np.zeros((CELLS, 2), np.int64))
+            total += expanded(data, 2 * CELLS).reshape(CELLS, 2)
+    for gate, both in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([gate], pa.int32()), pa.array([fitted(both).tolist()], pa.list_(pa.float64()))],
+            names=["gate", "weights"],
+        )
+
+
+def begin(training: DataFrame, counts: DataFrame, vocabulary: int, most_slots: int) -> Model:
+    """The vocabulary and codes of a training table; ``counts`` are its word counts."""
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
     ends = training.count()
     top = counts.orderBy(F.desc("n"), "code").limit(vocabulary).toArrow()
@@ -340,59 +504,50 @@ def fit(
         ends,
         most_slots,
     )
-    texts = training.select(F.coalesce("text", F.lit("")).alias("text"))
-    order = F.crc32(F.concat(F.lit("order"), F.col("doc_id").cast("string")).cast("binary"))
-    drawn = training.filter(held_out(F.col("doc_id")) == 9).orderBy(order, "doc_id", "text").limit(MAX_CALIBRATION)
-    sample = materialise(drawn.select(F.coalesce("text", F.lit("")).alias("text")))
-    every = texts.mapInArrow(_count_rows(model, False), COUNTS)
-    own = sample.mapInArrow(_count_rows(model, True), COUNTS)
+    model.table = model.table[:0]  # nothing to send yet
+    return model
+
+
+def learn(model: Model, training: DataFrame) -> Model:
+    """Count the predictors and fit the starting weights; ``training`` has one column, texts or stored token ids."""
+    every = training.mapInArrow(_count_rows(model), COUNTS)
     # Every row of a range meets in one task, which adds them up as they come.
-    found = every.union(own).repartition("range").mapInArrow(_summed(model), PACKED)
-    tables = found.toArrow()  # 4 bytes for each slot
-    place = np.argsort(tables["range"].to_numpy())
-    ranges = tables["range"].to_numpy()[place]
-
-    def whole(name: str) -> np.ndarray:
-        table = np.full(model.slots(), packed(np.zeros(1), np.zeros(1))[0])
-        for at, row in zip(ranges.tolist(), place.tolist(), strict=True):
-            part = np.frombuffer(tables[name][row].as_py(), np.uint16)
-            table[at * RANGE : at * RANGE + len(part)] = part
+    found = materialise(every.repartition("range").mapInArrow(_summed(model), PACKED))
+
+    def whole(name: str, bits: int) -> np.ndarray:
+        table = np.repeat(packed(np.zeros(1), np.zeros(1)), bits * model.slots())
+        for batch in found.select("range", name).toArrow().to_batches():
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = table[at * bits * RANGE : (at + 1) * bits * RANGE]
+                part[:] = restored(data.as_py(), len(part))
         return table
 
-    model.table = whole("others")
-    weights = sample.coalesce(1).mapInArrow(_calibrated(model), "weights binary").first()[0]
-    model.weights = np.frombuffer(weights, np.float32).reshape(model.weights.shape).copy()
-    model.table = whole("every")
+    model.table = whole("others", 2)
+    cells = training.mapInArrow(_met_rows(model), "gate int, counts binary")
+    weights = cells.repartition("gate").mapInArrow(_fitted_rows, "gate int, weights array<double>").collect()
+    for row in weights:
+        model.weights[:, row.gate] = row.weights
+    model.table = whole("every", 1)
     return model
 
 
-def _score_rows(model: Model):
-    base = np.array([model.base(c) for c in [*model.counts.tolist(), model.ends, 0]])
-    base[model.escape] = 0.0  # escaped words are added by their own counts
+def fit(
+    training: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, most_slots: int = MOST_SLOTS
+) -> Model:
+    """The model of a training table (doc_id, text); ``counts`` are its word counts."""
+    model = begin(training, counts, vocabulary, most_slots)
+    return learn(model, training.select(F.coalesce("text", F.lit("")).alias("text")))
+
 
+def _score_rows(model: Model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch.column(2), CHUNK):
-                some = batch.slice(part.start, part.stop - part.start)
-                words = Words(some.column(2))
-                n = len(words.counts)
-                ids, doc, rare = model.tokens(words)
-                escaped = np.bincount(doc[ids == model.escape], minlength=n)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(escaped)]).astype(np.int32))
-                ended = 1 if model.ends else 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0),
-                        some.column(1),
-                        pa.array((words.counts + 1).astype(np.int64)),
-                        pa.array((words.counts - escaped + ended).astype(np.int64)),
-                        pa.array(np.bincount(doc, base[ids], n)),
-                        pa.array(model.cost(ids, doc, n)),
-                        pa.array(np.diff(words.bounds).astype(np.int64)),
-                        pa.ListArray.from_arrays(offsets, pa.array(rare.astype(np.int64))),
-                    ],
-                    names=["uid", "doc_id", "n_tokens", "known", "base", "bits", "n_bytes", "rare"],
-                )
+            ids = batch.column(batch.num_columns - 1)
+            bits = [model.cost(*part) for part in model.parts(ids)]
+            found = pa.array(np.concatenate([np.zeros(0), *bits]))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], found], names=["uid", "doc_id", "n_tokens", "known", "base", "n_bytes", "bits"]
+            )
 
     return rows
 
@@ -402,27 +557,32 @@ def score(documents: DataFrame, vocabulary: int = VOCABULARY, most_slots: int =
 
     Learns from the documents whose split number is not 0.
     """
-    training = documents.filter(held_out(F.col("doc_id")) != 0).select("doc_id", "text")
+    split = held_out(F.col("doc_id"))
+    training = documents.filter(split != 0).select("doc_id", "text")
     counts = materialise(word_counts(training.select("text")))
-    model = fit(training, counts, vocabulary, most_slots)
+    model = begin(training, counts, vocabulary, most_slots)
     texts = documents.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col("doc_id").cast("long"),
+        (split != 0).alias("training"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     # Written once, so a row's number is the same wherever it is read.
-    scored = materialise(texts.mapInArrow(_score_rows(model), SCORED))
+    tokens = materialise(texts.mapInArrow(_token_rows(model), TOKENS))
+    learn(model, tokens.filter("training").select("ids"))
+    scored = tokens.select("uid", "doc_id", "n_tokens", "known", "base", "n_bytes", "ids")
+    scored = materialise(scored.mapInArrow(_score_rows(model), SCORED))
     smoothed = F.coalesce("n", F.lit(0)) + SMOOTHING
     among_all = model.total + SMOOTHING * (model.distinct + 1)
     among_rare = model.rare + SMOOTHING * (model.rare_words + 1)
-    rare = scored.select("uid", F.explode("rare").alias("code")).join(counts, "code", "left")
+    rare = tokens.select("uid", F.explode("rare").alias("code")).join(counts, "code", "left")
     added = rare.groupBy("uid").agg(
         F.count("n").alias("rare_known"),
         F.sum(F.log10(smoothed / F.lit(among_all))).alias("rare_base"),
         F.sum(F.log10(smoothed / F.lit(among_rare))).alias("rare_score"),
     )
     none = F.lit(0)
-    whole = scored.drop("rare").join(added, "uid", "left")
+    whole = scored.join(added, "uid", "left")
     total = F.coalesce("rare_score", none) - F.col("bits") * math.log10(2)
     return whole.select(
         "doc_id",
