@@ -265,6 +265,87 @@ def test_stored_token_ids_are_those_of_the_texts():
         assert all(np.array_equal(a, b) for a, b in zip(whole, found)) and model.stored.itemsize == (4 if more else 2)
 
 
+def little_mixer(rng):
+    """A model with counted slots, and texts as token ids."""
+    import numpy as np
+
+    model = context_mixing.Model(np.arange(1, 301, dtype=np.uint64), rng.integers(1, 90, 300), 20_000, 400, 9)
+    model.table = context_mixing.packed(*(lambda n: (n, rng.binomial(n, 0.4)))(rng.integers(0, 30, model.slots())))
+    texts = [rng.integers(0, 302, n) for n in (1, 5, 2000, 0, 70)]
+    return model, np.concatenate(texts), np.repeat(np.arange(5), [len(t) for t in texts])
+
+
+def test_a_group_of_levels_reads_one_line_of_each_table():
+    """Lines of 16 slots from the table's start; a token reads one line for each four levels of its code."""
+    import numpy as np
+
+    model, ids, doc = little_mixer(np.random.default_rng(8))
+    token, _, depth, slots = model.decisions(ids, doc)
+    group = token * 100 + (np.arange(len(token)) - np.searchsorted(token, token)) // context_mixing.LINE_DEPTH
+    assert (np.diff(token) > 0).any() and depth.max() >= context_mixing.LINE_DEPTH
+    for slot in slots[1:]:
+        first = slot[np.searchsorted(group, group)]
+        assert (slot // 16 == first // 16).all() and slot.max() < 3 * model.context_slots
+    nodes = slots[0] - 3 * model.context_slots
+    assert nodes.min() >= 0 and nodes.max() < model.codes.nodes
+
+
+def test_counts_and_scores_do_not_depend_on_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    model, ids, doc = little_mixer(np.random.default_rng(9))
+    ends = np.cumsum(np.bincount(doc, minlength=5))
+    texts = [ids[a:b].astype(model.stored).tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+    batch = pa.record_batch([pa.array(texts, pa.binary())], names=["ids"])
+    found = []
+    for piece in (1, 64, 10**6):
+        monkeypatch.setattr(context_mixing, "PIECE", piece)
+        found.append((model.cost(ids, doc, 5), context_mixing.counted(model, [batch])))
+    for cost, counts in found:
+        assert (cost == found[0][0]).all() and (counts == found[0][1]).all() and cost[3] == 0
+    plain = np.zeros(2 * model.slots(), int)
+    _, bit, _, slots = model.decisions(ids, doc)
+    for slot in slots:
+        np.add.at(plain, 2 * slot + bit, 1)
+    assert (found[0][1] == plain).all()
+
+
+def test_cells_of_decisions_are_those_of_their_slots():
+    """Met cells against intervals and levels taken decision by decision, each without its own count."""
+    import numpy as np
+    import pyarrow as pa
+
+    model, ids, doc = little_mixer(np.random.default_rng(10))
+    ends = np.cumsum(np.bincount(doc, minlength=5))
+    texts = [ids[a:b].astype(model.stored).tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+    batch = pa.record_batch([pa.array(texts, pa.binary())], names=["ids"])
+    others = context_mixing.without_one(context_mixing.counted(model, [batch]).reshape(-1, 2).astype(int))
+    size = context_mixing.RANGE
+    parts = [context_mixing.in_cells(model, others[a : a + size], a) for a in range(0, len(others), size)]
+    model.table = np.concatenate(parts).reshape(-1)
+    expected = Counter()
+    _, bit, depth, slots = model.decisions(ids, doc)
+    for i, (b, d) in enumerate(zip(bit.tolist(), depth.tolist())):
+        seen = [int(others[s[i], b]) for s in slots]
+        cell = 0
+        for f in seen:
+            cell = cell * 11 + sum(((f & 1023) - 512) * context_mixing.STEP >= e for e in context_mixing.EDGES)
+        expected[(d * 4 + (seen[1] >> 10)) * 4 + (seen[2] >> 10), cell, b] += 1
+    both = context_mixing.met(model, [batch])
+    assert expected == Counter({tuple(k): int(both[tuple(k)]) for k in np.argwhere(both).tolist()})
+
+
+def test_counts_travel_in_few_bytes():
+    import numpy as np
+
+    for most, width in ((0, 1), (255, 1), (256, 2), (70_000, 3), (2**32 - 1, 4)):
+        counts = np.zeros(5000, np.uint32)
+        counts[[0, 17, 4999]] = [most, 1, most // 2]
+        data = context_mixing.squeezed(counts)
+        assert data[0] == width and (context_mixing.expanded(data, 5000) == counts).all()
+
+
 def test_context_tables_grow_with_the_training_text():
     import numpy as np
 

@@ -48,6 +48,7 @@ LEAST_SLOTS, MOST_SLOTS = 2**16, 2**22  # of each hashed predictor; between them
 RANGE = 2**16  # slots whose counts travel together
 CHUNK = 800_000  # bytes of text coded at once: about 1,200,000 decisions
 CHUNK_TOKENS = 120_000  # the same for stored tokens
+PIECE = 8_000  # tokens whose decisions are looked up at once: what is in work stays in a core's cache
 BLOCK = 48  # tokens coded with the same weights
 RATE = 0.015
 SMOOTHING = 0.1  # of word counts
@@ -62,7 +63,10 @@ EDGES = np.array([-7, -4, -2, -0.8, -0.2, 0.2, 0.8, 2, 4, 7])  # between interva
 MIDDLES = np.concatenate([[EDGES[0] - 1], (EDGES[1:] + EDGES[:-1]) / 2, [EDGES[-1] + 1]])
 INTERVALS = len(MIDDLES)
 INTERVAL_OF = np.tile(np.digitize((np.arange(1024) - 512) * STEP, EDGES), LEVELS)  # of packed slots
-CELLS = INTERVALS ** (INPUTS - 1)
+TAKEN = 1 << 10  # marks facts of a step, which are its depth, its place among the slots of its group and its bit
+START_BITS = 18  # of the code of a word, by which it is looked up
+CELL_BITS = 14  # INTERVALS ** (INPUTS - 1) cells have numbers below CELLS
+CELLS = 2**CELL_BITS
 
 COUNTED = "code long, n long"
 TOKENS = (
@@ -70,7 +74,7 @@ TOKENS = (
     "rare array<long>"
 )
 COUNTS = "range int, counts binary"
-PACKED = "range int, every binary, others binary"
+PACKED = "range int, every binary, cells binary"
 SCORED = "uid long, doc_id long, n_tokens long, known long, base double, n_bytes long, bits double"
 
 
@@ -115,6 +119,21 @@ class Codes:
         self.node, self.bit = (steps >> 1).astype(np.int32), (steps & 1).astype(np.int8)
         self.nodes = n - 1
         self._group(parent, bit)
+        # A code is cut into groups of steps, the last one filled up; one look-up tells the facts of a whole group.
+        self.lines = -(-self.length // LINE_DEPTH)
+        self.first_line = np.cumsum(self.lines) - self.lines
+        of = np.repeat(np.arange(n), self.lines)
+        place = LINE_DEPTH * (np.arange(len(of)) - self.first_line[of])[:, None] + np.arange(LINE_DEPTH)
+        self.taken = place < self.length[of][:, None]
+        self.line_step = np.where(self.taken, self.start[of][:, None] + place, 0).astype(np.int32)
+        self.line_salt = self.salt[self.node[self.line_step[:, 0]]]
+        self.line_facts = self.by_lines(
+            TAKEN | self.depth[self.node] << 5 | self.place[self.node].astype(np.int32) << 1 | self.bit
+        )
+
+    def by_lines(self, steps: np.ndarray) -> np.ndarray:
+        """16-bit values of all steps, those of a group as one number; 0 where a group is filled up."""
+        return np.where(self.taken, steps[self.line_step], 0).astype(np.uint16).view(np.uint64)[:, 0]
 
     def _group(self, parent: list[int], bit: list[int]) -> None:
         """Depth of each node, a number shared by its group of LINE_DEPTH levels, and its place in there."""
@@ -176,6 +195,10 @@ class Model:
     ):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
+        starts = np.arange(2**START_BITS, dtype=np.uint64) << np.uint64(64 - START_BITS)
+        self.starts = np.searchsorted(self.words, starts)
+        self.most_of_start = int(np.diff(self.starts, append=len(self.words)).max())
+        self.bounded = np.append(self.words, np.uint64(2**64 - 1))
         self.total, self.distinct, self.ends = total, distinct, ends
         self.end, self.escape = len(words), len(words) + 1
         # Whatever is not in the vocabulary shares the escape.
@@ -185,6 +208,8 @@ class Model:
         self.context_slots = int(np.clip(1 << max(total - 1, 0).bit_length(), LEAST_SLOTS, most_slots))
         self.table = np.full(self.slots(), packed(np.zeros(1), np.zeros(1))[0])
         self.weights = np.full((INPUTS, self.gates()), START, np.float32)
+        every = np.arange(self.escape + 2, dtype=np.uint64)  # and nothing before
+        self.single = [(mix(every + np.uint64(1 << k)) >> np.uint64(32)).astype(np.uint32) for k in (40, 42)]
         self.stored = np.dtype("<u2" if self.escape < 2**16 else "<u4")  # of token ids in tables
 
     def __getstate__(self) -> dict:
@@ -203,10 +228,19 @@ class Model:
     def base(self, count: float) -> float:
         return math.log10((count + SMOOTHING) / (self.total + SMOOTHING * (self.distinct + 1)))
 
+    def search(self, codes: np.ndarray) -> np.ndarray:
+        """How many words of the vocabulary have a smaller code, from how many have a smaller start of it."""
+        if self.most_of_start > 8:  # codes are hashes, so few share a start
+            return np.searchsorted(self.words, codes)
+        at = self.starts.take((codes >> np.uint64(64 - START_BITS)).astype(np.int64))
+        for _ in range(self.most_of_start):
+            at += self.bounded.take(at) < codes
+        return at
+
     def tokens(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token ids with an end after each text, their text, and the codes of escaped words."""
         codes = words.codes()
-        at = np.minimum(np.searchsorted(self.words, codes), max(len(self.words) - 1, 0))
+        at = np.minimum(self.search(codes), max(len(self.words) - 1, 0))
         known = self.words[at] == codes if len(self.words) else np.zeros(len(codes), bool)
         ends = words.first_word[1:] + np.arange(len(words.counts))
         ids = np.empty(len(codes) + len(words.counts), np.int64)
@@ -230,60 +264,100 @@ class Model:
             number = np.diff(bounds) // self.stored.itemsize
             yield ids.astype(np.int64), np.repeat(np.arange(len(some)), number), len(some)
 
-    def decisions(self, ids: np.ndarray, doc: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """For every binary decision: its token, bit, depth and the slot of each predictor.
-
-        Decisions come token by token, in the given order of tokens.
-        """
+    def contexts(self, ids: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+        """Hashes of what stands before each token: one word, two words, the word before last."""
         first = np.ones(len(ids), bool)
         first[1:] = doc[1:] != doc[:-1]
         before = np.full(len(ids), self.escape + 1, np.int64)
         before[1:] = np.where(first[1:], self.escape + 1, ids[:-1])
         earlier = np.full(len(ids), self.escape + 1, np.int64)
         earlier[1:] = np.where(first[1:], self.escape + 1, before[:-1])
-        if order is not None:
-            ids, before, earlier = ids[order], before[order], earlier[order]
-        codes, length = self.codes, self.codes.length[ids]
-        token = np.repeat(np.arange(len(ids), dtype=np.int32), length)
-        step = np.repeat(codes.start[ids] - (np.cumsum(length) - length), length)
-        step += np.arange(len(step))
-        node = codes.node[step]
-        salt, place = codes.salt[node], codes.place[node]
-        shift = np.uint32(33 - self.context_slots.bit_length())
+        one, last = self.single
         with np.errstate(over="ignore"):
-            contexts = (
-                mix(before.astype(np.uint64) + np.uint64(1 << 40)),
-                mix(before.astype(np.uint64) * np.uint64(1 << 20) + earlier.astype(np.uint64) + np.uint64(1 << 41)),
-                mix(earlier.astype(np.uint64) + np.uint64(1 << 42)),
-            )
-            slots = [node.astype(np.int64)]
+            two = mix(before.astype(np.uint64) * np.uint64(1 << 20) + earlier.astype(np.uint64) + np.uint64(1 << 41))
+        return [one[before], (two >> np.uint64(32)).astype(np.uint32), last[earlier]]
+
+    def walk(
+        self, ids: np.ndarray, contexts: list[np.ndarray], bits: int
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """The decisions of some tokens at a time, in the given order of tokens, with groups filled up.
+
+        The groups, the facts of each decision and its slot for each context; with two bits the place of the bit that
+        came in a table of (zero, one).
+        """
+        codes = self.codes
+        shift = np.uint32(33 - self.context_slots.bit_length())
+        for begin in range(0, len(ids), PIECE):
+            some = ids[begin : begin + PIECE]
+            lines = codes.lines[some]
+            line = np.repeat(codes.first_line[some] - (np.cumsum(lines) - lines), lines)
+            line += np.arange(len(line))
+            salt, facts = codes.line_salt.take(line), codes.line_facts.take(line).view(np.uint16)
+            place = ((facts & 31) if bits == 2 else (facts >> 1 & 15)).astype(np.int64)
+            slots = []
             for k, context in enumerate(contexts):
-                hashed = np.repeat((context >> np.uint64(32)).astype(np.uint32), length)
+                hashed = np.repeat(context[begin : begin + PIECE], lines)
                 hashed ^= salt
                 hashed *= np.uint32(0x9E3779B1)
                 hashed >>= shift
-                hashed ^= place
-                slots.append(hashed + np.int64(codes.nodes + k * self.context_slots))
-        return token, codes.bit[step], codes.depth[node], slots
-
-    def gate(self, depth: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
-        """Which weights a decision takes: its depth, and how often its first two contexts were seen."""
-        return (depth * LEVELS + (found[1] >> np.uint16(10))) * LEVELS + (found[2] >> np.uint16(10))
-
-    def cost(self, ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-        """Bits of the decisions of each text."""
+                group = hashed.astype(np.int64)
+                group += k * self.context_slots
+                group *= bits
+                slot = np.repeat(group, LINE_DEPTH)
+                slot ^= place
+                slots.append(slot)
+            yield line, facts, slots
+
+    def decisions(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For every binary decision: its token, bit, depth and the slot of each predictor, token by token."""
+        codes, length = self.codes, self.codes.length[ids]
+        token = np.repeat(np.arange(len(ids)), length)
+        node = codes.node[codes.start[ids[token]] + np.arange(len(token)) - (np.cumsum(length) - length)[token]]
+        parts = [(facts, *slots) for _, facts, slots in self.walk(ids, self.contexts(ids, doc), 1)]
+        facts, *slots = (np.concatenate(p) for p in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
+        taken = facts >= TAKEN
+        facts, *slots = (x[taken] for x in (facts, *slots))
+        return token, (facts & 1).astype(np.int8), facts >> 5 & 31, [node + np.int64(3 * self.context_slots), *slots]
+
+    def nodes(self) -> np.ndarray:
+        """What the table tells of each step by its node alone, by groups."""
+        return self.codes.by_lines(self.table[3 * self.context_slots :][self.codes.node])
+
+    def cost(self, ids: np.ndarray, doc: np.ndarray, n_docs: int, nodes: np.ndarray | None = None) -> np.ndarray:
+        """Bits of the decisions of each text; ``nodes()`` may be given, so they are not looked up again."""
+        nodes = self.nodes() if nodes is None else nodes
         starts = np.searchsorted(doc, np.arange(n_docs))
         block = (np.arange(len(ids)) - starts[doc]) // BLOCK
         if len(block) and block.max() < 2**15:
             block = block.astype(np.int16)  # sorted by radix
         order = np.argsort(block, kind="stable")
-        token, bit, depth, slots = self.decisions(ids, doc, order)
-        doc = doc[order]
         cuts = np.searchsorted(block[order], np.arange(int(block.max(initial=0)) + 2))
-        cuts = np.searchsorted(token, cuts)
-        found = [self.table[s] for s in slots]
-        inputs = [odds(f) for f in found]
-        row = (doc * self.gates())[token] + self.gate(depth, found)
+        contexts = [c[order] for c in self.contexts(ids, doc)]
+        ids, doc = ids[order], doc[order]
+        length = self.codes.length[ids]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        row = np.repeat(doc * self.gates(), length)
+        found = [np.empty(len(row), np.uint16) for _ in range(INPUTS - 1)]
+        sign = np.empty(len(row), np.float32)
+        at = 0
+        for line, facts, slots in self.walk(ids, contexts, 1):
+            taken = np.flatnonzero(facts >= TAKEN)
+            part = slice(at, at := at + len(taken))
+            some = [f[part] for f in found]
+            nodes.take(line).view(np.uint16).take(taken, out=some[0], mode="clip")
+            looked_up = np.empty(len(facts), np.uint16)
+            for f, slot in zip(some[1:], slots, strict=True):
+                self.table.take(slot, out=looked_up, mode="clip").take(taken, out=f, mode="clip")
+            facts = facts.take(taken)
+            # Which weights a decision takes: its depth, and how often its first two contexts were seen.
+            gate = facts >> 5 & 31
+            for f in some[1:3]:
+                gate *= LEVELS
+                gate += f >> 10
+            row[part] += gate
+            sign[part] = facts & 1
+        sign *= 2
+        sign -= 1
         own = np.empty(self.weights.shape, np.float32)  # np.add.at is slow on a dtype that was pickled
         own[:] = self.weights
         if n_docs * self.gates() <= len(row):
@@ -291,16 +365,13 @@ class Model:
         else:  # many short texts: only the weights that are met
             used, row = np.unique(row, return_inverse=True)
             weights = [w[used % self.gates()] for w in own]
-        sign = bit.astype(np.float32)
-        sign *= 2
-        sign -= 1
         wrong = np.empty(len(sign), np.float32)  # odds against the bit that came
-        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for start, stop in zip(ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist(), strict=True):
             r, s, odd = row[start:stop], sign[start:stop], wrong[start:stop]
-            x = [i[start:stop] for i in inputs]
-            logit = weights[-1][r]
+            x = [odds(f[start:stop]) for f in found]
+            logit = weights[-1].take(r)
             for w, value in zip(weights, x):
-                some = w[r]
+                some = w.take(r)
                 some *= value
                 logit += some
             logit *= s
@@ -312,36 +383,49 @@ class Model:
             step *= s
             step *= np.float32(RATE)
             for w, value in zip(weights, x):
-                np.add.at(w, r, step * value)
+                value *= step
+                np.add.at(w, r, value)
             np.add.at(weights[-1], r, step)
-        return np.bincount(doc[token], np.log1p(wrong), n_docs) / math.log(2)
+        np.log1p(wrong, out=wrong)
+        bits = np.add.reduceat(wrong, ends[:-1], dtype=np.float64) if len(ids) else wrong
+        return np.bincount(doc, bits, n_docs) / math.log(2)
 
 
 def counted(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """How often a zero and a one came at each slot, one after the other."""
     both = np.zeros(2 * model.slots(), np.uint32)
     met = np.zeros(len(model.codes.length), np.int64)
+    codes = model.codes
     for batch in batches:
         for ids, doc, _ in model.parts(batch.column(0)):
             met += np.bincount(ids, minlength=len(met))
-            _, bit, _, slots = model.decisions(ids, doc)
-            for slot in slots[1:]:
-                np.add.at(both, 2 * slot + bit, np.uint32(1))
+            for _, facts, slots in model.walk(ids, model.contexts(ids, doc), 2):
+                once = (facts >> 10).astype(np.uint32)  # 0 where a group is filled up
+                for slot in slots:
+                    np.add.at(both, slot, once)
     # The first predictor knows the node alone, so its counts follow from those of the tokens.
-    codes = model.codes
-    np.add.at(both, 2 * codes.node.astype(np.int64) + codes.bit, np.repeat(met, codes.length).astype(np.uint32))
+    nodes = 2 * (codes.node + np.int64(3 * model.context_slots)) + codes.bit
+    np.add.at(both, nodes, np.repeat(met, codes.length).astype(np.uint32))
     return both
 
 
 def squeezed(counts: np.ndarray) -> bytes:
-    """32-bit counts byte by byte, so the many zeros of small counts lie together."""
-    planes = np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    """32-bit counts byte by byte, so the many zeros of small counts lie together; bytes that are 0 in all are left out."""
+    width = max(1, -(-int(counts.max(initial=0)).bit_length() // 8))
+    planes = counts.astype(np.uint8) if width == 1 else np.ascontiguousarray(
+        counts.view(np.uint8).reshape(-1, 4)[:, :width].T
+    )
+    return bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def expanded(data: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(n)
+    width = data[0]
+    raw = np.frombuffer(pa.decompress(data[1:], width * n, "zstd"), np.uint8).reshape(width, n)
+    if width == 1:
+        return raw[0].astype("<u4")
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u4").reshape(n)
 
 
 def _token_rows(model: Model):
@@ -401,8 +485,16 @@ def without_one(both: np.ndarray) -> np.ndarray:
     return found
 
 
+def in_cells(model: Model, found: np.ndarray, start: int) -> np.ndarray:
+    """What packed slots from ``start`` on add to the number of a cell; on top their level, if gates know it."""
+    context = (start + np.arange(len(found))) // model.context_slots  # the node alone comes after the third
+    scale = (INTERVALS ** np.array([2, 1, 0, 3]))[np.minimum(context, 3)]
+    level = np.where((context < 2)[:, None], found >> np.uint16(10), 0) << CELL_BITS
+    return (INTERVAL_OF[found] * scale[:, None] + level).astype(np.uint16)
+
+
 def _summed(model: Model):
-    """Packed slots of each range: from all counts, and from all others than a decision's own."""
+    """Packed slots of each range from all counts, and ``in_cells`` from all others than a decision's own."""
     size = model.slots()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,26 +509,35 @@ def _summed(model: Model):
                 [
                     pa.array([place], pa.int32()),
                     pa.array([shortened(packed(every.sum(1), every[:, 1]))], pa.binary()),
-                    pa.array([shortened(without_one(every))], pa.binary()),
+                    pa.array([shortened(in_cells(model, without_one(every), place * RANGE))], pa.binary()),
                 ],
-                names=["range", "every", "others"],
+                names=["range", "every", "cells"],
             )
 
     return rows
 
 
 def met(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """How often a zero and a one came at each gate and cell; the model's table is that ``without_one``."""
+    """How often a zero and a one came at each gate and cell; the model's table is ``in_cells``."""
     both = np.zeros(model.gates() * CELLS * 2, np.uint32)
+    codes, table = model.codes, model.table
+    nodes = codes.by_lines(table[2 * (codes.node + np.int64(3 * model.context_slots)) + codes.bit])
     for batch in batches:
         for ids, doc, _ in model.parts(batch.column(0)):
-            _, bit, depth, slots = model.decisions(ids, doc)
-            found = [model.table[2 * s + bit] for s in slots]
-            at = model.gate(depth, found).astype(np.int64)
-            for f in found:
-                at *= INTERVALS
-                at += INTERVAL_OF[f]
-            np.add.at(both, 2 * at + bit, np.uint32(1))
+            for line, facts, slots in model.walk(ids, model.contexts(ids, doc), 2):
+                one, two, last = (table.take(s, out=np.empty(len(s), np.uint16), mode="clip") for s in slots)
+                cell = nodes.take(line).view(np.uint16) + two  # and the level of two words before, on top
+                cell += last
+                cell += one & (CELLS - 1)
+                gate = facts >> 5 & 31
+                gate *= LEVELS
+                gate += one >> CELL_BITS
+                at = gate.astype(np.uint32)
+                at *= LEVELS * CELLS
+                at += cell
+                at *= 2
+                at += facts & 1
+                np.add.at(both, at.astype(np.int64), (facts >> 10).astype(np.uint32))
     return both.reshape(model.gates(), CELLS, 2)
 
 
@@ -445,7 +546,8 @@ def _met_rows(model: Model):
         for gate, both in enumerate(met(model, batches)):
             if both.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([gate], pa.int32()), pa.array([squeezed(both)], pa.binary())], names=["gate", "counts"]
+                    [pa.array([gate], pa.int32()), pa.array([squeezed(both.ravel())], pa.binary())],
+                    names=["gate", "counts"],
                 )
 
     return rows
@@ -522,7 +624,7 @@ def learn(model: Model, training: DataFrame) -> Model:
                 part[:] = restored(data.as_py(), len(part))
         return table
 
-    model.table = whole("others", 2)
+    model.table = whole("cells", 2)
     cells = training.mapInArrow(_met_rows(model), "gate int, counts binary")
     weights = cells.repartition("gate").mapInArrow(_fitted_rows, "gate int, weights array<double>").collect()
     for row in weights:
@@ -541,9 +643,10 @@ def fit(
 
 def _score_rows(model: Model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = model.nodes()
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
-            bits = [model.cost(*part) for part in model.parts(ids)]
+            bits = [model.cost(*part, nodes) for part in model.parts(ids)]
             found = pa.array(np.concatenate([np.zeros(0), *bits]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], found], names=["uid", "doc_id", "n_tokens", "known", "base", "n_bytes", "bits"]
