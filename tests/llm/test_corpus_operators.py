@@ -311,6 +311,23 @@ def test_counts_and_scores_do_not_depend_on_pieces(monkeypatch):
     assert (found[0][1] == plain).all()
 
 
+def test_bits_stay_with_their_rows(monkeypatch):
+    """Texts of like length are coded together, however they lie in a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(context_mixing, "CHUNK_TOKENS", 300)
+    rng = np.random.default_rng(12)
+    model, _, _ = little_mixer(rng)
+    texts = [rng.integers(0, 302, n) for n in (90, 1, 400, 0, 130, 60, 1, 250)]
+    ids = pa.array([t.astype(model.stored).tobytes() for t in texts], pa.binary())
+    batch = pa.record_batch([pa.array(range(8))] * 6 + [ids], names=[*"abcdef", "ids"])
+    (found,) = context_mixing._score_rows(model)(iter([batch]))
+    alone = [model.cost(t, np.zeros(len(t), np.int64), 1)[0] for t in texts]
+    assert found["uid"].to_pylist() == [*range(8)]
+    assert found["bits"].to_pylist() == pytest.approx(alone, rel=1e-9)
+
+
 def test_cells_of_decisions_are_those_of_their_slots():
     """Met cells against intervals and levels taken decision by decision, each without its own count."""
     import numpy as np

@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ VOCABULARY = 65_000
 LEAST_SLOTS, MOST_SLOTS = 2**16, 2**22  # of each hashed predictor; between them as many as training tokens
 RANGE = 2**16  # slots whose counts travel together
 CHUNK = 800_000  # bytes of text coded at once: about 1,200,000 decisions
-CHUNK_TOKENS = 120_000  # the same for stored tokens
+CHUNK_TOKENS = 60_000  # of stored tokens: about 600,000 decisions
 PIECE = 8_000  # tokens whose decisions are looked up at once: what is in work stays in a core's cache
 BLOCK = 48  # tokens coded with the same weights
 RATE = 0.015
@@ -646,10 +647,13 @@ def _score_rows(model: Model):
         nodes = model.nodes()
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
-            bits = [model.cost(*part, nodes) for part in model.parts(ids)]
-            found = pa.array(np.concatenate([np.zeros(0), *bits]))
+            # Texts of like length go together, so their blocks end together.
+            order = np.argsort(pc.binary_length(ids).to_numpy(), kind="stable")
+            bits = [model.cost(*part, nodes) for part in model.parts(ids.take(pa.array(order)))]
+            found = np.empty(len(order))
+            found[order] = np.concatenate([np.zeros(0), *bits])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], found], names=["uid", "doc_id", "n_tokens", "known", "base", "n_bytes", "bits"]
+                [*batch.columns[:-1], pa.array(found)], names=["uid", "doc_id", "n_tokens", "known", "base", "n_bytes", "bits"]
             )
 
     return rows
